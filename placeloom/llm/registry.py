@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from placeloom.llm import decontamination
+from placeloom.llm import decontamination, jaccard
 
 QUERIES = {
+    "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
+    "op6_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
 }
