@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placeloom.llm import decontamination, jaccard
+from placeloom.llm import bpe, decontamination, jaccard
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op10_decontamination": decontamination.op10_decontamination,
 }
