@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,15 @@ MEMO_ENTRIES = 400_000
 
 
 class RankQueue:
-    """Positions by rank: three levels of 64-bit words over the occupied ranks."""
+    """Positions by rank: three levels of 64-bit words over the occupied ranks.
 
-    def __init__(self) -> None:
+    The words are empty again when the queue has run empty, so one queue serves all pre-tokens.
+    """
+
+    def __init__(self, ranks: int) -> None:
         self.top = 0
-        self.mid: dict[int, int] = {}
-        self.low: dict[int, int] = {}
+        self.mid = [0] * ((ranks >> 12) + 1)
+        self.low = [0] * ((ranks >> 6) + 1)
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
@@ -48,31 +52,51 @@ class RankQueue:
         if bucket is None:
             self.buckets[rank] = [position]
             a, b = rank >> 6, rank >> 12
-            self.low[a] = self.low.get(a, 0) | (1 << (rank & 63))
-            self.mid[b] = self.mid.get(b, 0) | (1 << (a & 63))
+            self.low[a] |= 1 << (rank & 63)
+            self.mid[b] |= 1 << (a & 63)
             self.top |= 1 << b
         else:
             heapq.heappush(bucket, position)
 
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position."""
-        if not self.top:
-            return None
+    def pop(self) -> tuple[int, int]:
+        """The lowest rank and its leftmost position; the queue must not be empty."""
         b = (self.top & -self.top).bit_length() - 1
         mid = self.mid[b]
         a = b << 6 | (mid & -mid).bit_length() - 1
         low = self.low[a]
         rank = a << 6 | (low & -low).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] = low = low & (low - 1)
-            if not low:
-                self.mid[b] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top &= self.top - 1
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        self.low[a] = low = low & (low - 1)
+        if not low:
+            self.mid[b] = mid = mid & (mid - 1)
+            if not mid:
+                self.top &= self.top - 1
+        return rank, bucket[0]
+
+
+class _Memo(dict):
+    """Packed ids of short pre-tokens, in two generations: the older goes when the newer is full."""
+
+    def __init__(self, merge) -> None:
+        super().__init__()
+        self.merge = merge
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = array("i", self.merge(raw)).tobytes()
+            if len(raw) > MEMO_BYTES:
+                return ids
+        if len(self) >= MEMO_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,69 +113,78 @@ class Codec:
         self.longest = max(map(len, ranks), default=1)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.queue = RankQueue(max(self.tokens, default=0))
+        self.memo = _Memo(self.merge)
 
-    def merge(self, word: bytes) -> tuple[int, ...]:
+    def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
-        whole = self.ranks.get(word)
+        find = self.ranks.get
+        whole = find(word)
         if whole is not None:
-            return (whole,)
-        n, find, longest = len(word), self.ranks.get, self.longest
+            return [whole]
+        n, longest, queue = len(word), self.longest, self.queue
+        buckets, low, mid, push = queue.buckets, queue.low, queue.mid, queue.push
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        # pair[i]: rank of the token at i joined with the next; -1: none, or i is merged away
-        pair = [-1] * n
-        queue = RankQueue()
-        for i in range(n - 1):
-            rank = find(word[i : i + 2])
+        # pair[i]: rank of the token at i joined with the next; None: none, or i is merged away
+        pair = [find(word[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        for i, rank in enumerate(pair):
             if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    push(rank, i)
+        while top := queue.top:
+            # find-first-set on the three levels, as in pop()
+            b = (top & -top).bit_length() - 1
+            bits = mid[b]
+            a = b << 6 | (bits & -bits).bit_length() - 1
+            bits = low[a]
+            rank = a << 6 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heapq.heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[a] = bits = bits & (bits - 1)
+                if not bits:
+                    mid[b] = bits = mid[b] & (mid[b] - 1)
+                    if not bits:
+                        queue.top = top & (top - 1)
             if pair[i] != rank:
                 continue
             j = after[i]
-            pair[j] = -1
+            pair[j] = None
             k = after[i] = after[j]
-            pair[i] = -1
+            joined = None
             if k < n:
                 before[k] = i
                 end = after[k]
                 if end - i <= longest and (joined := find(word[i:end])) is not None:
-                    pair[i] = joined
-                    queue.push(joined, i)
+                    push(joined, i)
+            pair[i] = joined
             h = before[i]
             if h >= 0:
                 joined = find(word[h:k]) if k - h <= longest else None
-                pair[h] = -1 if joined is None else joined
-                if joined is not None:
-                    queue.push(joined, h)
+                if joined != pair[h]:
+                    pair[h] = joined
+                    if joined is not None:
+                        push(joined, h)
         ids, i = [], 0
         while i < n:
-            ids.append(self.ranks[word[i : after[i]]])
+            ids.append(find(word[i : after[i]]))
             i = after[i]
-        return tuple(ids)
+        return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        memo = self.memo
-        out = []
-        for piece in self.split(text):
-            ids = memo.get(piece)
-            if ids is None:
-                raw = piece.encode()
-                ids = self.merge(raw)
-                if len(raw) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[piece] = ids
-            out.append(ids)
-        return list(itertools.chain.from_iterable(out))
-
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of a list of ids."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), dtype=np.int32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of an array of ids."""
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -183,7 +216,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                parts = [np.array(encode(x.as_py() or ""), dtype=np.int32) for x in batch.column(at)]
+                parts = [encode(x.as_py() or "") for x in batch.column(at)]
                 ends = np.cumsum([0, *map(len, parts)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
@@ -208,7 +241,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
                 texts, raw = [], []
                 for x in batch.column(at):
                     values = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, dtype=np.int32)
-                    texts.append(decode(values.tolist()))
+                    texts.append(decode(values))
                     raw.append(values.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(texts, pa.binary()), pa.array(raw, pa.binary())],
