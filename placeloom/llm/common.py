@@ -39,12 +39,36 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    The written table cuts the lineage and survives lost executors.
+    The written table cuts the lineage and survives lost executors; the shuffle files of the
+    finished write are released at once where Spark has a setting for it.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/placeloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        before = spark.conf.get(_CLEANUP)
+    except Exception:  # an older Spark doesn't know the setting
+        before = None
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no plan reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -27,19 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import materialize, table
+from placeloom.llm.common import discard, materialize, table
 from placeloom.llm.components import components
 
 WORDS = 5
 PERCENT = 80
 #: Independent min-hashes that form the first groups.
 GROUP_KEYS = 4
-#: Tokens of more documents than this go to the end of the token order.
-COMMON = 24
-#: Common tokens that are broadcast; those of fewer documents beyond it stay in plain order.
+#: Tokens of more groups than this go to the end of the token order.
+COMMON = 100
+#: Common tokens that are broadcast; those of fewer groups beyond it stay in plain order.
 COMMON_BOUND = 2_000_000
-#: Rounds in which further common tokens are looked for.
-ORDER_ROUNDS = 4
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -166,7 +164,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     joined = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.size("ta"), F.size("tb"), percent))
     both = F.size(F.array_intersect("ta", "tb"))
-    return joined.where((100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))).select("a", "b")
+    links = materialize(joined.where((100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def _first_groups(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -186,101 +186,111 @@ def _first_groups(reps: DataFrame, docs: DataFrame, words: int, percent: int) ->
     return verified(materialize(pairs, "pivot-pairs"), docs, words, percent)
 
 
-def _common_tokens(rows: DataFrame, common: int, bound: int) -> np.ndarray:
-    """Tokens that lie in many documents of several groups: the most frequent ``bound`` of them."""
-    counted = _shared_tokens(rows).where(F.col("m") > common)
-    top = counted.orderBy(F.desc("m"), "token").limit(bound).select("token")
+def _common_tokens(rows: DataFrame, column: str) -> np.ndarray:
+    """Tokens that lie in many groups, counted at the groups' first members; the most frequent ones."""
+    firsts = rows.where("doc_id = grp").select(F.explode(column).alias("token"))
+    counted = firsts.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > COMMON)
+    top = counted.orderBy(F.desc("m"), "token").limit(COMMON_BOUND).select("token")
     return np.array([r[0] for r in top.toLocalIterator()], dtype=np.int64).view(np.uint64)
 
 
-def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """Tokens of at least two groups, with the number of documents."""
-    return (
-        rows.select(F.explode("prefix").alias("token"), "grp")
-        .groupBy("token")
-        .agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("m"))
-        .where("lo <> hi")
-        .select("token", "m")
-    )
+def _holders(rows: DataFrame, common: np.ndarray) -> DataFrame:
+    """Ids of the rows with a common token in their prefix."""
+    marks = rows.sparkSession.createDataFrame(pa.table({"token": common.view(np.int64)}))
+    # COMMON_BOUND tokens at most
+    held = rows.select("doc_id", F.explode("prefix").alias("token")).join(F.broadcast(marks), "token", "left_semi")
+    return materialize(held.select("doc_id").distinct(), "holders")
 
 
 def _ordered_prefixes(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``rows`` (doc_id, n, grp, prefix) with the prefixes under the final token order."""
-    common = np.empty(0, dtype=np.uint64)
-    for _ in range(ORDER_ROUNDS):
-        found = _common_tokens(rows, COMMON, COMMON_BOUND)
-        fresh = np.setdiff1d(found, common)
-        room = COMMON_BOUND - len(common)
-        if not len(fresh) or room <= 0:
-            break
-        fresh = fresh[:room]
-        common = np.union1d(common, fresh)
-        marks = docs.sparkSession.createDataFrame(pa.table({"token": fresh.view(np.int64)}))
-        held = rows.select("doc_id", F.explode("prefix").alias("token")).join(marks, "token", "left_semi").select("doc_id").distinct()
-        held = materialize(held, "held")
-        again = _reordered(docs.join(held, "doc_id", "left_semi"), common, words, percent)
-        moved = again.join(rows.select("doc_id", "n", "grp"), ["doc_id", "n"]).select("doc_id", "n", "grp", "prefix")
-        rows = materialize(rows.join(held, "doc_id", "left_anti").unionByName(moved), "prefixes")
-    return rows
+    """``rows`` (doc_id, n, grp, prefix) with the prefixes under the final token order.
+
+    Common tokens are found among the prefixes first, then among all tokens of the documents
+    that hold such tokens, since a common passage seldom comes alone.
+    """
+    common = _common_tokens(rows, "prefix")
+    if not len(common):
+        return rows
+    holders = _holders(rows, common)
+    whole = token_sets(docs.join(holders, "doc_id", "left_semi"), words).join(rows.select("doc_id", "grp"), "doc_id")
+    common = np.union1d(common, _common_tokens(whole, "tokens"))[:COMMON_BOUND]
+    held = _holders(rows, common)
+    again = _reordered(docs.join(held, "doc_id", "left_semi"), common, words, percent)
+    moved = again.join(rows.select("doc_id", "n", "grp"), ["doc_id", "n"]).select("doc_id", "n", "grp", "prefix")
+    moved = materialize(moved, "reordered")
+    return rows.join(held, "doc_id", "left_anti").unionByName(moved)
+
+
+def _matrix_rows(rows: DataFrame) -> DataFrame:
+    """(token, doc_id, n, grp) of the prefix tokens that more than one document holds."""
+    each = rows.select("doc_id", "n", "grp", F.explode("prefix").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    shared = materialize(shared, "shared-tokens")
+    if shared.count() <= COMMON_BOUND:
+        shared = F.broadcast(shared)
+    return materialize(each.join(shared, "token", "left_semi"), "matrix-rows")
 
 
 def _open_groups(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between documents of different groups, by the token-group matrix."""
-    shared = _shared_tokens(rows).select("token")
-    held = rows.select("doc_id", "n", "grp", F.explode("prefix").alias("token")).join(shared, "token", "left_semi")
-    held = materialize(held, "matrix-rows")
-    matrix = held.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    queries = held.select("token", F.col("doc_id").alias("q"), F.col("grp").alias("own"), "n")
+    held = _matrix_rows(rows)
+    # sizes in steps of 1 / percent: partners lie in the same step or in the next
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    matrix = held.withColumn("step", step).groupBy("token", "grp", "step").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    several = matrix.groupBy("token").agg(F.min("grp").alias("lowest"), F.max("grp").alias("highest")).where("lowest < highest")
+    held = held.join(several, "token").where("grp < highest")
+    near_step = F.explode(F.array(step - 1, step, step + 1)).alias("step")
+    queries = held.select("token", F.col("doc_id").alias("q"), F.col("grp").alias("own"), "n", near_step)
     fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
-    near = queries.join(matrix, "token").where((F.col("own") < F.col("grp")) & fits).select("q", "n", "grp").distinct()
+    near = queries.join(matrix, ["token", "step"]).where((F.col("own") < F.col("grp")) & fits).select("q", "n", "grp").distinct()
     near = materialize(near, "query-groups")
     members = rows.select("grp", F.col("doc_id").alias("b"), F.col("n").alias("bn"))
     many = members.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
+    many = materialize(many, "wide-groups")
     # the whole overlap with a group's union bounds the overlap with any member
     wide = near.join(many, "grp", "left_semi")
-    ids = (
-        wide.select(F.col("q").alias("doc_id"))
-        .union(members.join(wide.select("grp").distinct(), "grp", "left_semi").select(F.col("b").alias("doc_id")))
-        .distinct()
-    )
+    inside = materialize(members.join(wide.select("grp").distinct(), "grp", "left_semi"), "wide-members")
+    ids = wide.select(F.col("q").alias("doc_id")).union(inside.select("b")).distinct()
     sets = materialize(token_sets(docs.join(ids, "doc_id", "left_semi"), words), "union-sets")
-    union = (
-        members.join(wide.select("grp").distinct(), "grp", "left_semi")
-        .join(sets.withColumnRenamed("doc_id", "b"), "b")
-        .select("grp", F.explode("tokens").alias("token"))
-        .distinct()
-    )
+    union = inside.join(sets.withColumnRenamed("doc_id", "b"), "b").select("grp", F.explode("tokens").alias("token")).distinct()
     asked = wide.join(sets.withColumnRenamed("doc_id", "q"), "q").select("q", "n", "grp", F.explode("tokens").alias("token"))
     bound = asked.join(union, ["grp", "token"]).groupBy("q", "n", "grp").agg(F.count("*").alias("overlap"))
-    opened = bound.where(100 * F.col("overlap") >= percent * F.col("n")).select("q", "n", "grp").union(near.join(many, "grp", "left_anti").select("q", "n", "grp"))
+    opened = bound.where(100 * F.col("overlap") >= percent * F.col("n")).select("q", "n", "grp")
     pairs = (
-        opened.join(members, "grp")
+        # a group of one is its own union: opening it computes the bound
+        opened.union(near.join(many, "grp", "left_anti").select("q", "n", "grp"))
+        .join(members, "grp")
         .where(_sizes_fit(F.col("n"), F.col("bn"), percent) & (F.col("q") != F.col("b")))
         .select(F.col("q").alias("a"), "b")
         .distinct()
     )
-    return verified(materialize(pairs, "opened-pairs"), docs, words, percent)
+    found = verified(materialize(pairs, "opened-pairs"), docs, words, percent)
+    discard(sets)
+    return found
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id)."""
     signed = materialize(signatures(docs, words, percent), "signatures")
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = linked.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep")
-    copies = materialize(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
     keys = ["doc_id", "n", "d1", "d2"]
-    reps = linked.join(classes.withColumnRenamed("rep", "doc_id"), keys, "left_semi").dropDuplicates(keys)
-    reps = materialize(reps.drop("d1", "d2"), "representatives")
-    first = materialize(_first_groups(reps, docs, words, percent), "pivot-links")
+    small = linked.select(*keys)
+    classes = materialize(small.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
+    copies = small.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep")
+    copies = materialize(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
+    reps = linked.join(classes.withColumnRenamed("rep", "doc_id"), keys, "left_semi")
+    first = _first_groups(reps, docs, words, percent)
     groups = components(first, "groups")
-    rows = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    grouped = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), "prefix"
     )
-    rows = _ordered_prefixes(materialize(rows, "grouped"), docs, words, percent)
-    rest = _open_groups(rows, docs, words, percent)
+    grouped = materialize(grouped, "grouped")
+    sizes = materialize(signed.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
+    discard(signed)
+    rest = _open_groups(_ordered_prefixes(grouped, docs, words, percent), docs, words, percent)
+    discard(grouped)
     labels = components(copies.union(first).union(rest), "classes")
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placeloom.llm import bpe, decontamination, jaccard, toxicity
+from placeloom.llm import bpe, decontamination, fingerprints, jaccard, toxicity
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
