@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placeloom.llm import bpe, decontamination, fingerprints, jaccard, toxicity
+from placeloom.llm import bpe, decontamination, fingerprints, jaccard, pii, toxicity
 
 QUERIES = {
+    "op8_pii": pii.op8_pii,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
