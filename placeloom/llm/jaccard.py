@@ -231,35 +231,50 @@ def _matrix_rows(rows: DataFrame) -> DataFrame:
     return materialize(each.join(shared, "token", "left_semi"), "matrix-rows")
 
 
-def _open_groups(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between documents of different groups, by the token-group matrix."""
-    held = _matrix_rows(rows)
+def _rest(n: Column, percent: int) -> Column:
+    """Tokens of a set of ``n`` behind its prefix."""
+    return F.ceil(n * percent / 100).cast("bigint") - 1
+
+
+def _query_groups(held: DataFrame, percent: int) -> DataFrame:
+    """(q, n, grp, step) whose overlap can reach the threshold, from the token-group matrix.
+
+    The matrix has, for every group and size step, the union of its members' prefix tokens.  A
+    member shares at most the query's overlap ``c`` with that union within the prefixes.  Beyond
+    them, whichever of the two prefixes ends first in the token order leaves only the rest of its
+    own set, so c plus the larger rest bounds the whole overlap.
+    """
     # sizes in steps of 1 / percent: partners lie in the same step or in the next
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     matrix = held.withColumn("step", step).groupBy("token", "grp", "step").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    several = matrix.groupBy("token").agg(F.min("grp").alias("lowest"), F.max("grp").alias("highest")).where("lowest < highest")
-    held = held.join(several, "token").where("grp < highest")
     near_step = F.explode(F.array(step - 1, step, step + 1)).alias("step")
     queries = held.select("token", F.col("doc_id").alias("q"), F.col("grp").alias("own"), "n", near_step)
     fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
-    near = queries.join(matrix, ["token", "step"]).where((F.col("own") < F.col("grp")) & fits).select("q", "n", "grp").distinct()
-    near = materialize(near, "query-groups")
+    met = queries.join(matrix, ["token", "step"]).where((F.col("own") < F.col("grp")) & fits)
+    bound = met.groupBy("q", "n", "grp", "step").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    most = F.col("c") + F.greatest(_rest(F.col("n"), percent), _rest(F.col("hi"), percent))
+    return bound.where((100 + percent) * most >= percent * (F.col("n") + F.col("lo"))).select("q", "n", "grp", "step")
+
+
+def _open_groups(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents of different groups, by the token-group matrix."""
+    near = materialize(_query_groups(_matrix_rows(rows), percent).select("q", "n", "grp").distinct(), "query-groups")
     members = rows.select("grp", F.col("doc_id").alias("b"), F.col("n").alias("bn"))
-    many = members.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
-    many = materialize(many, "wide-groups")
-    # the whole overlap with a group's union bounds the overlap with any member
+    inside = materialize(members.join(near.select("grp").distinct(), "grp", "left_semi"), "near-members")
+    many = inside.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
+    # the whole overlap with a wide group's union bounds the overlap with any member
     wide = near.join(many, "grp", "left_semi")
-    inside = materialize(members.join(wide.select("grp").distinct(), "grp", "left_semi"), "wide-members")
-    ids = wide.select(F.col("q").alias("doc_id")).union(inside.select("b")).distinct()
+    wide_members = inside.join(many, "grp", "left_semi")
+    ids = wide.select(F.col("q").alias("doc_id")).union(wide_members.select("b")).distinct()
     sets = materialize(token_sets(docs.join(ids, "doc_id", "left_semi"), words), "union-sets")
-    union = inside.join(sets.withColumnRenamed("doc_id", "b"), "b").select("grp", F.explode("tokens").alias("token")).distinct()
+    union = wide_members.join(sets.withColumnRenamed("doc_id", "b"), "b").select("grp", F.explode("tokens").alias("token")).distinct()
     asked = wide.join(sets.withColumnRenamed("doc_id", "q"), "q").select("q", "n", "grp", F.explode("tokens").alias("token"))
-    bound = asked.join(union, ["grp", "token"]).groupBy("q", "n", "grp").agg(F.count("*").alias("overlap"))
-    opened = bound.where(100 * F.col("overlap") >= percent * F.col("n")).select("q", "n", "grp")
+    overlap = asked.join(union, ["grp", "token"]).groupBy("q", "n", "grp").agg(F.count("*").alias("overlap"))
+    opened = overlap.where(100 * F.col("overlap") >= percent * F.col("n")).select("q", "n", "grp")
     pairs = (
-        # a group of one is its own union: opening it computes the bound
+        # a group of one is its own union: opening it computes the overlap
         opened.union(near.join(many, "grp", "left_anti").select("q", "n", "grp"))
-        .join(members, "grp")
+        .join(inside, "grp")
         .where(_sizes_fit(F.col("n"), F.col("bn"), percent) & (F.col("q") != F.col("b")))
         .select(F.col("q").alias("a"), "b")
         .distinct()

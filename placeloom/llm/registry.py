@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placeloom.llm import bpe, decontamination, fingerprints, jaccard, pii, toxicity
+from placeloom.llm import bpe, decontamination, fingerprints, jaccard, pii, toxicity, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op8_pii": pii.op8_pii,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
+    "op5_warc": warc.ORACLE_SQL,
     "op6_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
 }
