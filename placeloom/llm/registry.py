@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placeloom.llm import bpe, decontamination, fingerprints, jaccard, pii, toxicity, warc
+from placeloom.llm import bpe, decontamination, fingerprints, jaccard, langid, pii, toxicity, warc
 
 QUERIES = {
+    "op4_language_id": langid.op4_language_id,
     "op5_warc": warc.op5_warc,
     "op8_pii": pii.op8_pii,
     "op2_fingerprints": fingerprints.op2_fingerprints,
