@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placeloom.llm import bpe, decontamination, fingerprints, jaccard, langid, lm, pii, toxicity, warc
+from placeloom.llm import bpe, decontamination, fingerprints, html, jaccard, langid, lm, pii, toxicity, warc
 
 QUERIES = {
+    "op9_html_extraction": html.op9_html_extraction,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op4_language_id": langid.op4_language_id,
     "op5_warc": warc.op5_warc,
