@@ -185,7 +185,8 @@ def _close_sibling(stack: list[tuple[str, int]], name: str) -> None:
             return
 
 
-N_SCALARS = 10
+N_SCALARS = 12
+_CHROME = frozenset("aside nav footer header form".split())
 N_FEATURES = len(KINDS) + N_SCALARS
 
 
@@ -212,6 +213,13 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[:, k + 7] = whole[:, 0] / max(1, whole[0, 0])
     out[:, k + 8] = [len(x.children) == 0 for x in nodes]
     out[:, k + 9] = 1
+    # whether an element or one around it is the article's or the page's frame
+    frames = {i for i, kind in enumerate(KINDS) if kind in _CHROME}
+    for i in range(n):
+        out[i, k + 10] = out[i, k + 5] or nodes[i].tag in ("article", "main")
+        out[i, k + 11] = out[i, k + 4] or int(kinds[i]) in frames
+        if i:
+            out[i, k + 10 : k + 12] = np.maximum(out[i, k + 10 : k + 12], out[parents[i], k + 10 : k + 12])
     return out, parents, kinds
 
 
@@ -267,7 +275,7 @@ def _exp(s: float) -> float:
     return float(np.exp(min(30.0, max(-30.0, s))))
 
 
-def train(pages: list[tuple[Page, list[int]]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
+def train(pages: list[tuple[Page, list[int]]], rounds: int = 600, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """Maximum likelihood on pages whose nodes are labelled 1 (content) or 0."""
     model = Model(np.zeros(N_FEATURES), np.zeros((len(KINDS), 2, 2)))
     sums = [np.full(model.node.shape, 1e-6), np.full(model.pair.shape, 1e-6)]
@@ -313,6 +321,7 @@ class _Maker:
     def __init__(self, seed: int):
         self.rng = np.random.default_rng(seed)
         self.stop = "."
+        self.short = False
 
     def pick(self, *options: str) -> str:
         return options[int(self.rng.integers(len(options)))]
@@ -337,7 +346,7 @@ class _Maker:
         return f"<{tag}>{' | '.join(items)}</{tag.split()[0]}>"
 
     def paragraph(self) -> str:
-        low, high = (1, 6) if self.chance(0.15) else (10, 90)
+        low, high = (1, 6) if self.chance(1.0 if self.short else 0.15) else (10, 90)
         text = self.MARK + self.words(low, high)
         if self.chance(0.2):
             text += f' <a href="/in">{self.words(1, 4, "")}</a> {self.words(3, 20)}'
@@ -348,13 +357,15 @@ class _Maker:
     def article(self) -> str:
         # some texts have no sentences, in others they are short
         self.stop = self.pick(".", ".", ".", ".", "", ", ", "! ")
+        # some are lists of short lines, or little more than a heading
+        self.short = self.chance(0.25)
         made = self._article()
-        self.stop = "."
+        self.stop, self.short = ".", False
         return made
 
     def _article(self) -> str:
         parts = [f"<h1>{self.MARK}{self.words(3, 12, '')}</h1>"] if self.chance(0.85) else []
-        for _ in range(int(self.rng.integers(1, 14))):
+        for _ in range(int(self.rng.integers(1, (3, 14, 60)[int(self.rng.integers(3))] if self.short else 14))):
             r = self.rng.random()
             if r < 0.78:
                 parts.append(self.paragraph())
