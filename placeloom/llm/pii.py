@@ -55,15 +55,24 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What each type looks like, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[\p{L}\p{N}-]{2,63}",
-    "secret": r"(?<=(?i:token|secret|passw|pwd|key|word) ?[=:] ?[\"'])[^\"'\s]{8,512}(?=[\"'])",
+    "secret": r"(?<=[\"'])(?<=(?i:token|secret|passw|pwd|key|word) ?[=:] ?[\"'])[^\"'\s]{8,512}(?=[\"'])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": r"(?=[A-Z]{2}[0-9]{2})(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![0-9+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}[\p{{L}}'-]{{1,40}}",
+    "name": rf"(?=\p{{Lu}}\p{{L}}{{1,30}}+ \p{{Lu}})(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}[\p{{L}}'-]{{1,40}}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NUMBERS = ("ip", "card", "ssn", "phone")
+#: All types as one pattern; each starts with a test of one character, so most places cost little.
+PATTERN = "|".join(
+    [f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban", "name")] + ["(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in _NUMBERS) + ")"]
+)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def kind_of(entity: Column) -> Column:
@@ -172,27 +181,40 @@ def _name(digest: Column, name: Column, attempt: Column) -> Column:
 
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of an entity, in the entity's own spelling."""
-    plain = canonical(kind, entity)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, plain, attempt.cast("string")), 512)
+    return _let(
+        canonical(kind, entity),
+        lambda plain: _let(
+            F.sha2(F.concat_ws("|", F.lit(key), kind, plain, attempt.cast("string")), 512),
+            lambda digest: _drawn(kind, entity, plain, digest, attempt),
+        ),
+    )
+
+
+def _drawn(kind: Column, entity: Column, plain: Column, digest: Column, attempt: Column) -> Column:
     octet = lambda i: (_draw(digest, i, 254) + 1).cast("string")
     card = _digits(digest, plain, F.lit(1))
     country = F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3})(?:[ .-]|\()", 1))
+    host = F.substring_index(F.substring_index(plain, "@", -1), ".", 1)
     return (
-        F.when(kind == "email", F.concat(_like(digest, F.substring_index(plain, "@", 1)), F.lit("@"), _like(F.reverse(digest), F.substring_index(F.substring_index(plain, "@", -1), ".", 1)), F.lit(".example")))
+        F.when(kind == "email", F.concat(_like(digest, F.substring_index(plain, "@", 1)), F.lit("@"), _like(F.reverse(digest), host), F.lit(".example")))
         .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
-        .when(kind == "card", _refilled(entity, F.when(_luhn_sum(plain) % 10 == 0, _with_check(card)).otherwise(card)))
-        .when(kind == "ssn", _refilled(entity, _digits(digest, plain, F.lit(0))))
-        .when(kind == "phone", _refilled(entity, _digits(digest, plain, country)))
+        .when(kind == "card", _let(card, lambda c: _refilled(entity, F.when(_luhn_sum(plain) % 10 == 0, _with_check(c)).otherwise(c))))
+        .when(kind == "ssn", _let(_digits(digest, plain, F.lit(0)), lambda d: _refilled(entity, d)))
+        .when(kind == "phone", _let(_digits(digest, plain, country), lambda d: _refilled(entity, d)))
         .when(kind == "iban", F.concat(F.substring(entity, 1, 2), _like(digest, F.substring(entity, F.lit(3), F.length(entity)))))
         .when(kind == "name", _name(digest, entity, attempt))
         .otherwise(_like(digest, entity))
     )
 
 
+def found_in(text: Column) -> Column:
+    """All entities of a text, in order."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """(kind, plain) of every distinct entity of the texts."""
-    text = F.col("text").cast("string")
-    found = docs.where(text.rlike(PATTERN)).select(F.explode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("entity"))
+    found = docs.select(F.explode(found_in(F.col("text").cast("string"))).alias("entity"))
     found = found.withColumn("kind", kind_of(F.col("entity")))
     return found.select("kind", canonical(F.col("kind"), F.col("entity")).alias("plain")).distinct()
 
@@ -214,46 +236,46 @@ def dictionary(docs: DataFrame, key: str = KEY) -> DataFrame:
         known = judged.select("kind", "plain", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
 
 
-def _replaced(text: Column, attempts, key: str) -> Column:
+def _replaced(text: Column, found: Column, attempts, key: str) -> Column:
     """``text`` with every entity replaced; ``attempts`` gives the attempt of (kind, plain)."""
-    between = F.split(text, PATTERN, -1)
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
     def one(entity: Column) -> Column:
-        kind = kind_of(entity)
-        return surrogate(kind, entity, attempts(kind, canonical(kind, entity)), key)
+        return _let(kind_of(entity), lambda kind: surrogate(kind, entity, attempts(kind, canonical(kind, entity)), key))
 
     made = F.concat(F.transform(found, one), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, made, lambda a, b: F.concat(a, b)), "")
+    whole = F.array_join(F.zip_with(F.split(text, PATTERN, -1), made, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.size(found) > 0, whole).otherwise(text)
+
 
+def replace_pii(docs: DataFrame, key: str = KEY, inline: int = INLINE_REDRAWS, count: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in the text column; all other columns stay.
 
-def replace_pii(docs: DataFrame, key: str = KEY, inline: int = INLINE_REDRAWS) -> DataFrame:
-    """``docs`` with surrogates in the text column; all other columns stay."""
+    A column named by ``count`` is added, with the number of entities.
+    """
     redrawn = materialize(dictionary(docs, key).where("attempt > 0"), "redraws")
-    text = F.col("text")
+    text, found = F.col("text"), F.col("__found")
     rows = redrawn.limit(inline + 1).collect()
+    marked = docs.withColumn("__found", found_in(text))
     if len(rows) <= inline:
         first = F.lit(0)
         listed = F.create_map(*itertools.chain.from_iterable((F.lit(f"{r['kind']}|{r['plain']}"), F.lit(r["attempt"])) for r in rows)) if rows else None
         attempts = lambda k, p: first if listed is None else F.coalesce(F.try_element_at(listed, F.concat_ws("|", k, p)), first)
-        return docs.withColumn("text", F.when(text.rlike(PATTERN), _replaced(text, attempts, key)).otherwise(text))
-    # each text's own redraws, joined by the text's hash: bounded by the text
-    mark = "__text_mark"
-    marked = docs.withColumn(mark, F.xxhash64(text))
-    found = marked.where(text.rlike(PATTERN)).select(mark, F.explode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("entity"))
-    found = found.withColumn("kind", kind_of(F.col("entity"))).select(mark, "kind", canonical(F.col("kind"), F.col("entity")).alias("plain")).distinct()
-    own = found.join(redrawn, ["kind", "plain"]).groupBy(mark).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "plain"), "attempt"))).alias("__redrawn")
-    )
-    attempts = lambda k, p: F.coalesce(F.try_element_at("__redrawn", F.concat_ws("|", k, p)), F.lit(0))
-    joined = marked.join(own, mark, "left")
-    made = joined.withColumn("text", F.when(text.rlike(PATTERN), _replaced(text, attempts, key)).otherwise(text))
-    return made.select(*docs.columns)
+    else:
+        # each text's own redraws, joined by the text's hash: bounded by the text
+        marked = marked.withColumn("__mark", F.xxhash64(text))
+        each = marked.select("__mark", F.explode(found).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
+        each = each.select("__mark", "kind", canonical(F.col("kind"), F.col("entity")).alias("plain")).distinct()
+        own = each.join(redrawn, ["kind", "plain"]).groupBy("__mark").agg(
+            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "plain"), "attempt"))).alias("__redrawn")
+        )
+        marked = marked.join(own, "__mark", "left")
+        attempts = lambda k, p: F.coalesce(F.try_element_at("__redrawn", F.concat_ws("|", k, p)), F.lit(0))
+    counted = [F.size(found).cast("bigint").alias(count)] if count else []
+    columns = [_replaced(text, found, attempts, key).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return marked.select(*columns, *counted)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """All documents: text with surrogates, number of entities, whether it changed."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = F.when(F.col("text").rlike(PATTERN), F.size(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))).otherwise(0)
-    counted = docs.withColumn("n_entities", n.cast("bigint"))
-    return replace_pii(counted).select("doc_id", "text", "n_entities", (F.col("n_entities") > 0).alias("changed"))
+    made = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+    return made.withColumn("changed", F.col("n_entities") > 0)
