@@ -48,12 +48,12 @@ def destination(lat: Column, lon: Column, bearing_deg: Column, distance_m: Colum
 
 def cell_x(lon: Column) -> Column:
     """Grid column; the antimeridian belongs to the last cell."""
-    return F.least(F.floor((lon + 180_000_000) * (1 << GRID_BITS) / 360_000_000), F.lit((1 << GRID_BITS) - 1)).cast("bigint")
+    return F.least(F.floor((lon.cast("bigint") + 180_000_000) * (1 << GRID_BITS) / 360_000_000), F.lit((1 << GRID_BITS) - 1)).cast("bigint")
 
 
 def cell_y(lat: Column) -> Column:
     """Grid row; the pole belongs to the last cell."""
-    return F.least(F.floor((lat + 90_000_000) * (1 << GRID_BITS) / 180_000_000), F.lit((1 << GRID_BITS) - 1)).cast("bigint")
+    return F.least(F.floor((lat.cast("bigint") + 90_000_000) * (1 << GRID_BITS) / 180_000_000), F.lit((1 << GRID_BITS) - 1)).cast("bigint")
 
 
 def around(x: Column, y: Column) -> Column:

@@ -26,6 +26,16 @@ GRS80 = Ellipsoid(6378137.0, 1 / 298.257222101)
 BESSEL = Ellipsoid(6377397.155, 1 / 299.1528128)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _settled(start: Column, step, rounds: int) -> Column:
+    """A fixed-point iteration of ``rounds`` steps."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda x, _: step(x))
+
+
 @dataclass(frozen=True)
 class TransverseMercator:
     """Parameters of a transverse Mercator grid."""
@@ -111,10 +121,8 @@ class LambertConic:
         r0 = self.ellipsoid.a * scale * self._t(p0) ** n
         x, y = east - self.east0, F.lit(r0) - (north - self.north0)
         t = F.pow(F.sqrt(x * x + y * y) / (self.ellipsoid.a * scale), F.lit(1 / n))
-        lat = math.pi / 2 - 2 * F.atan(t)
-        for _ in range(6):
-            s = e * F.sin(lat)
-            lat = math.pi / 2 - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
+        step = lambda k, p: math.pi / 2 - 2 * F.atan(k * F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2)))
+        lat = _let(t, lambda k: _settled(math.pi / 2 - 2 * F.atan(k), lambda p: step(k, p), 6))
         return F.degrees(lat), F.degrees(F.atan2(x, y) / n) + self.lon0
 
 
@@ -134,15 +142,20 @@ LEST97 = LambertConic(57.517553930555555, 24.0, 59.0 + 1 / 3, 58.0, 500000.0, 63
 
 def shifted_datum(lat: Column, lon: Column, dx: float, dy: float, dz: float, source: Ellipsoid = BESSEL, target: Ellipsoid = GRS80) -> tuple[Column, Column]:
     """Abridged Molodensky shift of degrees from one ellipsoid to another."""
-    p, l = F.radians(lat), F.radians(lon)
     da, df = target.a - source.a, target.f - source.f
-    s, c = F.sin(p), F.cos(p)
-    w = 1 - source.e2 * s * s
-    m = source.a * (1 - source.e2) / F.pow(w, F.lit(1.5))
-    nu = source.a / F.sqrt(w)
-    dp = (-dx * s * F.cos(l) - dy * s * F.sin(l) + dz * c + (source.a * df + source.f * da) * F.sin(2 * p)) / m
-    dl = (-dx * F.sin(l) + dy * F.cos(l)) / (nu * c)
-    return lat + F.degrees(dp), lon + F.degrees(dl)
+
+    def moved(at: Column) -> Column:
+        p, l = F.radians(at["lat"]), F.radians(at["lon"])
+        s, c = F.sin(p), F.cos(p)
+        w = 1 - source.e2 * s * s
+        m = source.a * (1 - source.e2) / F.pow(w, F.lit(1.5))
+        nu = source.a / F.sqrt(w)
+        dp = (-dx * s * F.cos(l) - dy * s * F.sin(l) + dz * c + (source.a * df + source.f * da) * F.sin(2 * p)) / m
+        dl = (-dx * F.sin(l) + dy * F.cos(l)) / (nu * c)
+        return F.struct((at["lat"] + F.degrees(dp)).alias("lat"), (at["lon"] + F.degrees(dl)).alias("lon"))
+
+    out = _let(F.struct(lat.alias("lat"), lon.alias("lon")), moved)
+    return out["lat"], out["lon"]
 
 
 #: Austria's shift to WGS 84, in metres.
@@ -166,7 +179,7 @@ def krovak(y: Column, x: Column) -> tuple[Column, Column]:
     """Czech S-JTSK (positive westing y, southing x) to WGS 84: oblique conic on Bessel, then a shift."""
     a, e = BESSEL.a, math.sqrt(BESSEL.e2)
     phi0, uq, s0 = math.radians(49.5), math.radians(59 + 42 / 60 + 42.69689 / 3600), math.radians(78.5)
-    lon0, k1 = math.radians(24 + 50 / 60 - (17 + 40 / 60)), 0.9999
+    lon0, k1 = math.radians(24 + 50 / 60), 0.9999
     alpha = math.sqrt(1 + e * e / (1 - e * e) * math.cos(phi0) ** 4)
     u0 = math.asin(math.sin(phi0) / alpha)
     g = ((1 + e * math.sin(phi0)) / (1 - e * math.sin(phi0))) ** (alpha * e / 2)
@@ -181,8 +194,6 @@ def krovak(y: Column, x: Column) -> tuple[Column, Column]:
     dv = F.asin(F.cos(s) * F.sin(d) / F.cos(u))
     lon = F.lit(lon0) - dv / alpha
     base = F.pow(F.tan(u / 2 + math.pi / 4), F.lit(1 / alpha)) * k ** (-1 / alpha)
-    lat = 2 * (F.atan(base) - math.pi / 4)
-    for _ in range(5):
-        q = e * F.sin(lat)
-        lat = 2 * (F.atan(base * F.pow((1 + q) / (1 - q), F.lit(e / 2))) - math.pi / 4)
+    step = lambda b, p: 2 * (F.atan(b * F.pow((1 + e * F.sin(p)) / (1 - e * F.sin(p)), F.lit(e / 2))) - math.pi / 4)
+    lat = _let(base, lambda b: _settled(2 * (F.atan(b) - math.pi / 4), lambda p: step(b, p), 5))
     return shifted_datum(F.degrees(lat), F.degrees(lon), 570.8, 85.7, 462.8)

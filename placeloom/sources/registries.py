@@ -82,11 +82,24 @@ def map_addresses(raw: DataFrame, r: Registry) -> DataFrame:
     return out.where(F.col("street").isNotNull() & F.col("housenumber").isNotNull() & usable)
 
 
+def _recoded(raw: DataFrame, code_page: str) -> DataFrame:
+    """Texts that were read as Latin-1, in the code page that they were written in."""
+    high = "".join(map(chr, range(128, 256)))
+    real = "".join(bytes([b]).decode(code_page, "replace") for b in range(128, 256))
+    names = {c: c.translate(str.maketrans(high, real)) for c in raw.columns}
+    return raw.select(*[F.translate(F.col(f"`{c}`"), high, real).alias(n) for c, n in names.items()])
+
+
 def read_addresses(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Addresses of a registry's files; gzipped ones too."""
+    """Addresses of a registry's files; gzipped ones too.
+
+    Spark reads no code pages but Latin-1, so others are read as that and translated.
+    """
     r = REGISTRIES[name]
-    reader = spark.read.option("header", True).option("sep", r.sep).option("encoding", r.encoding).options(**r.options)
-    return map_addresses(reader.csv(path), r)
+    native = r.encoding == "UTF-8"
+    reader = spark.read.option("header", True).option("sep", r.sep).option("encoding", "UTF-8" if native else "ISO-8859-1").options(**r.options)
+    raw = reader.csv(path)
+    return map_addresses(raw if native else _recoded(raw, r.encoding), r)
 
 
 def swiss(addresses: DataFrame, streets: DataFrame, localities: DataFrame) -> DataFrame:
