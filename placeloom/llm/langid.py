@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 
 from placeloom.llm.common import fold_of, table
 
-#: Bound of the training sample: documents of each language, in hash order of doc_id.
+#: Bound of the training sample: documents of each language, chosen by the hash of doc_id (the
+#: expected number), and languages, the most frequent first.
 TRAIN_PER_LANGUAGE = 1500
+TRAIN_LANGUAGES = 500
 #: Bound of the distinct words that one language trains on: the most frequent of the sample.
 TRAIN_WORDS = 20_000
 ROUNDS = 4
@@ -37,7 +39,7 @@ ROUNDS = 4
 SMOOTHING = 0.02
 #: Words of more letters are taken in parts.
 WORD_LETTERS = 64
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 600_000
 FOLDS, HELD_OUT = 4, 2
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -151,9 +153,8 @@ class Model:
         if len(memo) >= MEMO_ENTRIES or self.rows is None:
             memo.clear()
             self.rows = np.empty((0, len(self.languages)))
-        fresh = list(dict.fromkeys(w for words in texts for w in words if w not in memo))
         # words of about one length share a chunk
-        fresh.sort(key=len)
+        fresh = sorted(set().union(*texts).difference(memo), key=len)
         parts = [self.rows]
         for start in range(0, len(fresh), CHUNK):
             chunk = fresh[start : start + CHUNK]
@@ -207,11 +208,13 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, pieces: list[st
     from pyspark.sql import Window as W
 
     known = docs.where(F.col("lang").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
-    known = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("lang").cast("string").alias("lang"))
-    # a language's first rows in hash order; every task keeps as many at most before the exchange
-    ranked = known.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    picked = ranked.select("doc_id").distinct()
-    sample = docs.where(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(picked, "doc_id", "left_semi")
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    # every document whose hash lies under its language's share
+    shares = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGUAGES)
+    shares = shares.select("lang", (F.lit(per_language) / F.col("n")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # one row for each language, TRAIN_LANGUAGES at most
+    sample = known.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[str, Counter] = defaultdict(Counter)
