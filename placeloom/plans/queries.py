@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.functions import address, geo, hashing, scoring, text
-from placeloom.operators import merge, quality, search, spatial, streets, usage
+from placeloom.operators import merge, quality, rules, search, spatial, streets, usage
 from placeloom.plans import fixtures as fx
 from placeloom.plans.fixtures import hav, with_tables
 
@@ -745,3 +745,81 @@ def decision_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", (F.col("event_id") % 13 != 0).alias("well_formed"), (F.col("user_id") % 11 != 0).alias("known"), (F.col("user_id") % 7 == 0).alias("blocked"), (F.col("value") <= 90).alias("within_rate"), (F.col("event_type") != "error").alias("within_quota")
     )
     return usage.decisions(e).select("event_id", "decision")
+
+
+# --- rules and planning ----------------------------------------------------------------------
+
+#: Boxes that stand in for countries, the first that holds a point wins.
+_BOXES = [("aa", 59000000, 59080000, 18000000, 18200000), ("bb", 59040000, 59160000, 18100000, 18300000), ("cc", 59000000, 59200003, 18000000, 18350000)]
+
+
+@query(
+    "country_by_box",
+    f"{with_tables('customers')} SELECT record_id, CASE WHEN lat_u BETWEEN 59000000 AND 59080000 AND lon_u BETWEEN 18000000 AND 18200000 THEN 'aa' WHEN lat_u BETWEEN 59040000 AND 59160000 AND lon_u BETWEEN 18100000 AND 18300000 THEN 'bb' WHEN lat_u BETWEEN 59000000 AND 59200003 AND lon_u BETWEEN 18000000 AND 18350000 THEN 'cc' END AS country FROM customers",
+)
+def country_by_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries by an ordered list of boxes."""
+    return fx.customers(spark, sf_dir).select("record_id", rules.first_box(F.col("lat_u"), F.col("lon_u"), _BOXES).alias("country"))
+
+
+@query(
+    "admin_validity",
+    "SELECT c_custkey AS record_id, CASE c_nationkey % 2 WHEN 0 THEN contains(c_name, '7') ELSE true END AS valid FROM customer",
+)
+def admin_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas whose names have their country's form."""
+    country = F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd")
+    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), rules.valid_for(F.col("c_name"), F.lit(7), country, {("even", 7): "7"}).alias("valid"))
+
+
+@query(
+    "nearest_settlement",
+    f"{with_tables('points', 'customers')}, {_CELLS} SELECT point_id, record_id, metres FROM met WHERE kind IN ('city', 'town', 'village') AND metres <= 30000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY CASE kind WHEN 'city' THEN 0 WHEN 'town' THEN 1 ELSE 2 END, metres, record_id) = 1",
+)
+def nearest_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settlement of a point: by rank, then by distance."""
+    rank = F.when(F.col("kind") == "city", 3).when(F.col("kind") == "town", 2).otherwise(1)
+    towns = fx.customers(spark, sf_dir).where("kind IN ('city', 'town', 'village')").withColumn("priority", rank)
+    return rules.best_settlement(fx.points(spark, sf_dir), towns, 30000)
+
+
+@query(
+    "postcode_settlement",
+    f"{with_tables('points', 'customers')}, {_CELLS}, n AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY metres, record_id) <= 16) SELECT point_id, record_id FROM n WHERE metres <= 5000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY (record_id * 48271) % 65521 DESC, metres, record_id) = 1",
+)
+def postcode_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most important of the nearest places."""
+    places = fx.customers(spark, sf_dir).withColumn("importance", (F.col("record_id") * 48271) % 65521)
+    return rules.important_nearby(fx.points(spark, sf_dir), places, 16, 5000)
+
+
+@query(
+    "zip_county",
+    f"{with_tables('points', 'customers')}, m AS (SELECT p.point_id, c.record_id, {hav('p.lat_u', 'p.lon_u', 'c.lat_u', 'c.lon_u')} AS metres FROM points p JOIN customers c ON p.point_id % 25 = c.admin_id AND abs(p.lat_u - c.lat_u) <= 50000 AND abs(p.lon_u - c.lon_u) <= 50000) SELECT point_id, record_id, metres FROM m QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY metres, record_id) = 1",
+)
+def zip_county(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest place of a point's own state, within a band."""
+    asked = fx.points(spark, sf_dir).withColumn("state", (F.col("point_id") % 25).cast("int"))
+    return rules.nearest_in_state(asked, fx.customers(spark, sf_dir).withColumnRenamed("admin_id", "state"), 50000)
+
+
+@query(
+    "planned_phases",
+    "WITH s AS (SELECT n_nationkey AS country, p AS phase, CAST(p AS INTEGER) AS ord, (n_nationkey * p) % 7 AS f, CASE WHEN (n_nationkey + p) % 4 <> 0 THEN (n_nationkey * p) % 7 WHEN (n_nationkey + p) % 8 = 0 THEN 99 END AS b FROM nation, range(1, 7) r(p)) SELECT country, phase, ord, max(CASE WHEN f IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY country ORDER BY ord) = 1 AS run FROM s",
+)
+def planned_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build phases to run: those that changed and all behind them."""
+    n = F.col("n_nationkey")
+    states = fx.table(spark, sf_dir, "nation").select(n.alias("country"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("ord")).select("country", F.col("ord").cast("bigint").alias("phase"), "ord", (F.col("country") * F.col("ord") % 7).alias("fingerprint"))
+    mark = (F.col("country") + F.col("ord")) % 8
+    previous = states.where(mark != 4).withColumn("fingerprint", F.when(mark == 0, 99).otherwise(F.col("fingerprint")))
+    return rules.planned_phases(states, previous)
+
+
+@query("stitched_rings")
+def stitched_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons cut into pieces and stitched again."""
+    ring = fx.polygons(spark, sf_dir).select(F.col("admin_id").cast("bigint").alias("relation_id"), F.transform("ring", lambda p: F.struct((p["lat"] / 1e6).alias("lat"), (p["lon"] / 1e6).alias("lon"))).alias("r"))
+    pieces = F.array(F.slice("r", 1, 3), F.reverse(F.slice("r", 3, 3)))
+    members = ring.select("relation_id", F.posexplode(pieces).alias("ord", "points"))
+    return rules.stitched_rings(members).select("relation_id", "ring_no", F.size("ring").alias("n_points"))

@@ -162,3 +162,11 @@ def test_importance(spark):
 def test_punctuation_and_names(spark):
     row = one(spark, text.punctuation(F.lit("a/b ,c ;  d,,")).alias("p"), text.core_name(F.lit("Lund (Skåne)")).alias("c"), text.core_name(F.lit("Lund")).alias("n"), address.qid(F.lit("q42")).alias("q"))
     assert tuple(row) == ("a b, c d", "Lund", None, 42)
+
+
+def test_stitching():
+    from placeloom.operators.rules import stitch
+
+    square = [[(0, 0), (0, 1)], [(1, 1), (0, 1)], [(1, 1), (1, 0), (0, 0)], [(5, 5), (6, 6)]]
+    assert stitch(square) == [[(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]]
+    assert stitch([]) == []
