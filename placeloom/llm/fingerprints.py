@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from placeloom.llm.common import materialize, table
 
-#: Range buckets of the id order; their borders and first ids are all that the driver sees.
-ID_BUCKETS = 512
+#: Least and most range buckets of the id order, between them two for each shuffle partition; their
+#: borders and first ids are all that the driver sees.
+ID_BUCKETS = (512, 8192)
 #: Digests of repeated texts that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -88,7 +89,8 @@ def followed(docs: DataFrame, *carried: str) -> DataFrame:
     of the range before it, so one exchange brings every row together with its successor.
     """
     ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / ID_BUCKETS for i in range(1, ID_BUCKETS)], F.lit(10 * ID_BUCKETS))).first()[0]
+    n = min(ID_BUCKETS[1], max(ID_BUCKETS[0], 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(10 * n))).first()[0]
     borders = F.array(*[F.lit(b) for b in sorted(set(cuts or []))]).cast("array<bigint>")
     bucket = F.coalesce(F.size(F.filter(borders, lambda b: b < F.col("doc_id"))), F.lit(0))
     bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(bucket)
@@ -100,7 +102,7 @@ def followed(docs: DataFrame, *carried: str) -> DataFrame:
         return plain.select(*own, *[F.col(c).alias(f"next_{c}") for c in leads])
     order = sorted(((r["bucket"], r["doc_id"]) for r in heads), key=lambda r: r[0])
     rows = [(order[i][1], order[i - 1][0]) for i in range(len(order))]
-    # one row for each range, ID_BUCKETS + 1 at most
+    # one row for each range, ID_BUCKETS[1] + 1 at most
     marks = docs.sparkSession.createDataFrame(rows, "head bigint, target int")
     copies = docs.select(*own).join(F.broadcast(marks), F.col("doc_id").eqNullSafe(F.col("head")))
     first = W.partitionBy("target").orderBy(F.col("text").asc_nulls_first())
