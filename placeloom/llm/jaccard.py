@@ -2,11 +2,12 @@
 
 Tokens are the distinct word shingles of a document, as 64-bit hashes.  Similar documents are
 first partitioned into groups: documents that share a min-hash meet the smallest id among them
-(the pivot), and those that truly reach the threshold form groups.  The matrix holds, for every
-group, the union of its members' tokens.  A query document is held against a group only if a
-token of its prefix lies in the group's union (prefix filter over one global token order) and the
-sizes allow it; then its whole overlap with the group's union bounds its overlap with any member,
-and only groups whose bound reaches the threshold are opened and their members verified.
+(the pivot); those alike to it form groups of bounded size, and those that reach the threshold
+are linked to it.  The matrix holds, for every group, the union of its members' prefix tokens,
+under one global token order.  Groups meet only if their unions share a token, and their overlap,
+the sizes and the positions in the order bound what any two members share; only groups whose
+bound reaches the threshold are opened.  Members that links have joined already are not compared
+again.
 
 Because groups stand for their members, a family of thousands of copies costs a link per member
 and not one per pair.  Tokens that many groups share go to the end of the global order, which
@@ -34,10 +35,17 @@ WORDS = 5
 PERCENT = 80
 #: Independent min-hashes that form the first groups.
 GROUP_KEYS = 4
+#: Percent of similarity to a pivot that puts a document into its group, and members of a group's part.
+ALIKE = 50
+GROUP_SIZE = 256
 #: Tokens of more groups than this go to the end of the token order.
 COMMON = 100
 #: Common tokens that are broadcast; those of fewer groups beyond it stay in plain order.
 COMMON_BOUND = 2_000_000
+#: Rounds in which common tokens are looked for.
+ORDER_ROUNDS = 2
+#: Document ids that are broadcast to pick texts; beyond it the texts are joined by an exchange.
+IDS_BOUND = 1_000_000
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -135,7 +143,7 @@ def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _reordered(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, prefix) under the order that puts ``common`` tokens last."""
+    """(doc_id, n, comp, grp, prefix) of ``docs`` (doc_id, text, comp, grp) under the order that puts ``common`` last."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,45 +153,72 @@ def _reordered(docs: DataFrame, common: np.ndarray, words: int, percent: int) ->
                 batch = whole.slice(start, 1000)
                 sets = [shingles(t, words) for t in _texts(batch)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(t) for t in sets], pa.int64()), _lists([_prefix(t, last, percent) for t in sets])],
-                    names=["doc_id", "n", "prefix"],
+                    [batch.column(0), pa.array([len(t) for t in sets], pa.int64()), batch.column(2), batch.column(3), _lists([_prefix(t, last, percent) for t in sets])],
+                    names=["doc_id", "n", "comp", "grp", "prefix"],
                 )
 
-    return _plain(docs).mapInArrow(run, "doc_id bigint, n bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, comp bigint, grp bigint, prefix array<bigint>")
+
+
+def _small(written: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it has few rows."""
+    return F.broadcast(written) if written.count() <= IDS_BOUND else written
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in the written table ``ids``."""
+    return docs.join(_small(ids), "doc_id", "left_semi")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of the id pairs (a, b) those whose sets reach the threshold."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(token_sets(docs.join(needed, "doc_id", "left_semi"), words), "token-sets")
+def compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, least: int) -> DataFrame:
+    """(a, b, linked) of the id pairs (a, b) whose sets reach ``least`` percent; linked: ``percent``."""
+    needed = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
+    sets = materialize(token_sets(_with_ids(docs, needed), words), "token-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.size("ta"), F.size("tb"), percent))
-    both = F.size(F.array_intersect("ta", "tb"))
-    links = materialize(joined.where((100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"), "links")
+    joined = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.size("ta"), F.size("tb"), least))
+    both, total = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
+    judged = joined.select("a", "b", both.alias("both"), total.alias("total")).where((100 + least) * F.col("both") >= least * F.col("total"))
+    out = materialize(judged.select("a", "b", ((100 + percent) * F.col("both") >= percent * F.col("total")).alias("linked")), "compared")
     discard(sets)
-    return links
+    return out
 
 
-def _first_groups(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of each representative to the pivots of its min-hash keys."""
+def _keyed(reps: DataFrame) -> DataFrame:
+    """(doc_id, n, k, key, band): the buckets of documents that share a min-hash and are of about one size."""
     keyed = reps.select("doc_id", "n", F.posexplode("keys").alias("k", "key"))
-    # the pivot is the smallest document among those of about one size
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.5))).cast("int")
-    keyed = keyed.withColumn("band", band)
-    by = ["k", "key", "band"]
-    pivots = keyed.groupBy(*by).agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    return keyed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.5))).cast("int"))
+
+
+_BUCKET = ["k", "key", "band"]
+
+
+def _met_pivots(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, linked): documents b that are alike to the pivot a, the smallest document of a bucket."""
+    keyed = _keyed(reps)
+    pivots = keyed.groupBy(*_BUCKET).agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     pairs = (
-        keyed.join(pivots.select(*by, F.col("p.doc_id").alias("a"), F.col("p.n").alias("an")), by)
+        keyed.join(pivots.select(*_BUCKET, F.col("p.doc_id").alias("a"), F.col("p.n").alias("an")), _BUCKET)
         .where((F.col("a") != F.col("doc_id")) & _sizes_fit(F.col("n"), F.col("an"), percent))
         .select("a", F.col("doc_id").alias("b"))
         .distinct()
     )
-    return verified(materialize(pairs, "pivot-pairs"), docs, words, percent)
+    return compared(materialize(pairs, "pivot-pairs"), docs, words, percent, ALIKE)
+
+
+def _groups(reps: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc_id, grp) of the documents in groups of several: those alike to one pivot, in parts of bounded size."""
+    label = met.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("label"))
+    pivots = met.select(F.col("a").alias("doc_id")).distinct().join(label, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("label"))
+    labelled = materialize(label.unionByName(pivots), "labels")
+    parts = labelled.groupBy("label").agg(F.ceil(F.count("*") / GROUP_SIZE).alias("parts"))
+    dealt = labelled.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    names = dealt.groupBy("label", "part").agg(F.min("doc_id").alias("grp"))
+    return materialize(dealt.join(names, ["label", "part"]).select("doc_id", "grp"), "groups")
 
 
 def _common_tokens(rows: DataFrame, column: str) -> np.ndarray:
@@ -195,37 +230,39 @@ def _common_tokens(rows: DataFrame, column: str) -> np.ndarray:
 
 
 def _holders(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """Ids of the rows with a common token in their prefix."""
+    """(doc_id, comp, grp) of the rows with a common token in their prefix."""
     marks = rows.sparkSession.createDataFrame(pa.table({"token": common.view(np.int64)}))
     # COMMON_BOUND tokens at most
-    held = rows.select("doc_id", F.explode("prefix").alias("token")).join(F.broadcast(marks), "token", "left_semi")
-    return materialize(held.select("doc_id").distinct(), "holders")
+    held = rows.select("doc_id", "comp", "grp", F.explode("prefix").alias("token")).join(F.broadcast(marks), "token", "left_semi")
+    return materialize(held.select("doc_id", "comp", "grp").distinct(), "holders")
 
 
 def _ordered_prefixes(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``rows`` (doc_id, n, grp, prefix) with the prefixes under the final token order.
+    """``rows`` (doc_id, n, comp, grp, prefix) with the prefixes under the final token order.
 
-    Common tokens are found among the prefixes first, then among all tokens of the documents
-    that hold such tokens, since a common passage seldom comes alone.
+    A prefix that loses common tokens grows by others, so common tokens are looked for once more
+    among the prefixes that have changed.
     """
-    common = _common_tokens(rows, "prefix")
-    if not len(common):
-        return rows
-    holders = _holders(rows, common)
-    whole = token_sets(docs.join(holders, "doc_id", "left_semi"), words).join(rows.select("doc_id", "grp"), "doc_id")
-    common = np.union1d(common, _common_tokens(whole, "tokens"))[:COMMON_BOUND]
-    held = _holders(rows, common)
-    again = _reordered(docs.join(held, "doc_id", "left_semi"), common, words, percent)
-    moved = again.join(rows.select("doc_id", "n", "grp"), ["doc_id", "n"]).select("doc_id", "n", "grp", "prefix")
-    moved = materialize(moved, "reordered")
-    return rows.join(held, "doc_id", "left_anti").unionByName(moved)
+    common = np.empty(0, dtype=np.uint64)
+    changed = rows
+    for _ in range(ORDER_ROUNDS):
+        fresh = np.setdiff1d(_common_tokens(changed, "prefix"), common)[: COMMON_BOUND - len(common)]
+        if not len(fresh):
+            break
+        common = np.union1d(common, fresh)
+        held = _small(_holders(rows, fresh))
+        again = _reordered(_plain(docs).join(held, "doc_id").select("doc_id", "text", "comp", "grp"), common, words, percent)
+        changed = materialize(again.where("n > 0"), "reordered")
+        rows = rows.join(held.select("doc_id"), "doc_id", "left_anti").unionByName(changed)
+    return rows
 
 
 def _matrix_rows(rows: DataFrame) -> DataFrame:
-    """(token, doc_id, n, grp) of the prefix tokens that more than one document holds."""
-    each = rows.select("doc_id", "n", "grp", F.explode("prefix").alias("token"))
+    """(token, pos, doc_id, n, grp) of the prefix tokens that more than one document holds."""
+    each = rows.select("doc_id", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
     shared = each.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     shared = materialize(shared, "shared-tokens")
+    # tokens are as many as the input has, so they are broadcast only while they are few
     if shared.count() <= COMMON_BOUND:
         shared = F.broadcast(shared)
     return materialize(each.join(shared, "token", "left_semi"), "matrix-rows")
@@ -236,52 +273,73 @@ def _rest(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("bigint") - 1
 
 
-def _query_groups(held: DataFrame, percent: int) -> DataFrame:
-    """(q, n, grp, step) whose overlap can reach the threshold, from the token-group matrix.
+def _near_groups(held: DataFrame, percent: int) -> DataFrame:
+    """(ga, gb): groups of which members can reach the threshold, from the token-group matrix.
 
-    The matrix has, for every group and size step, the union of its members' prefix tokens.  A
-    member shares at most the query's overlap ``c`` with that union within the prefixes.  Beyond
+    The matrix has, for every group and size step, the union of its members' prefix tokens.  Two
+    members share at most the ``c`` tokens that both unions hold within the prefixes.  Beyond
     them, whichever of the two prefixes ends first in the token order leaves only the rest of its
-    own set, so c plus the larger rest bounds the whole overlap.
+    own set, so c plus the larger rest bounds the overlap.  It is also bounded by what stands at
+    and behind the first shared token, in either set; a set whose first token that any other
+    group holds comes late is left out before pairs are formed.
     """
     # sizes in steps of 1 / percent: partners lie in the same step or in the next
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    matrix = held.withColumn("step", step).groupBy("token", "grp", "step").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    near_step = F.explode(F.array(step - 1, step, step + 1)).alias("step")
-    queries = held.select("token", F.col("doc_id").alias("q"), F.col("grp").alias("own"), "n", near_step)
-    fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
-    met = queries.join(matrix, ["token", "step"]).where((F.col("own") < F.col("grp")) & fits)
-    bound = met.groupBy("q", "n", "grp", "step").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    most = F.col("c") + F.greatest(_rest(F.col("n"), percent), _rest(F.col("hi"), percent))
-    return bound.where((100 + percent) * most >= percent * (F.col("n") + F.col("lo"))).select("q", "n", "grp", "step")
+    several = held.groupBy("token").agg(F.min("grp").alias("lowest"), F.max("grp").alias("highest")).where("lowest < highest").select("token", "highest")
+    several = materialize(several, "met-tokens")
+    held = held.join(F.broadcast(several) if several.count() <= COMMON_BOUND else several, "token")
+    matrix = held.withColumn("step", step).groupBy("token", "grp", "step").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"), F.max("highest").alias("highest")
+    )
+    matrix = materialize(matrix, "matrix")
+    starts = materialize(matrix.groupBy("grp", "step").agg(F.min("pos").alias("first")), "matrix-starts")
+    matrix = matrix.join(_small(starts), ["grp", "step"])
+    left = matrix.where("grp < highest").select(
+        "token", F.col("grp").alias("ga"), F.col("step").alias("sa"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("pos").alias("pa"), F.col("first").alias("fa"),
+        F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
+    )
+    right = matrix.select("token", "step", F.col("grp").alias("gb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("pos").alias("pb"), F.col("first").alias("fb"))
+    needed = percent * (F.col("la") + F.col("lb"))
+    fits = (100 * F.col("hb") >= percent * F.col("la")) & (100 * F.col("ha") >= percent * F.col("lb"))
+    fits = fits & ((100 + percent) * F.least(F.col("ha") - F.col("fa"), F.col("hb") - F.col("fb")) >= needed)
+    met = left.join(right, ["token", "step"]).where((F.col("ga") < F.col("gb")) & fits)
+    bound = met.groupBy("ga", "sa", "gb", "step").agg(
+        F.count("*").alias("c"), F.max(F.least(F.col("ha") - F.col("pa"), F.col("hb") - F.col("pb"))).alias("reach"),
+        F.min("la").alias("la"), F.max("ha").alias("ha"), F.min("lb").alias("lb"), F.max("hb").alias("hb"),
+    )
+    most = F.col("c") + F.greatest(_rest(F.col("ha"), percent), _rest(F.col("hb"), percent))
+    return bound.where(((100 + percent) * most >= needed) & ((100 + percent) * F.col("reach") >= needed)).select("ga", "gb").distinct()
 
 
 def _open_groups(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between documents of different groups, by the token-group matrix."""
-    near = materialize(_query_groups(_matrix_rows(rows), percent).select("q", "n", "grp").distinct(), "query-groups")
-    members = rows.select("grp", F.col("doc_id").alias("b"), F.col("n").alias("bn"))
-    inside = materialize(members.join(near.select("grp").distinct(), "grp", "left_semi"), "near-members")
-    many = inside.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
-    # the whole overlap with a wide group's union bounds the overlap with any member
-    wide = near.join(many, "grp", "left_semi")
-    wide_members = inside.join(many, "grp", "left_semi")
-    ids = wide.select(F.col("q").alias("doc_id")).union(wide_members.select("b")).distinct()
-    sets = materialize(token_sets(docs.join(ids, "doc_id", "left_semi"), words), "union-sets")
-    union = wide_members.join(sets.withColumnRenamed("doc_id", "b"), "b").select("grp", F.explode("tokens").alias("token")).distinct()
-    asked = wide.join(sets.withColumnRenamed("doc_id", "q"), "q").select("q", "n", "grp", F.explode("tokens").alias("token"))
-    overlap = asked.join(union, ["grp", "token"]).groupBy("q", "n", "grp").agg(F.count("*").alias("overlap"))
-    opened = overlap.where(100 * F.col("overlap") >= percent * F.col("n")).select("q", "n", "grp")
-    pairs = (
-        # a group of one is its own union: opening it computes the overlap
-        opened.union(near.join(many, "grp", "left_anti").select("q", "n", "grp"))
-        .join(inside, "grp")
-        .where(_sizes_fit(F.col("n"), F.col("bn"), percent) & (F.col("q") != F.col("b")))
-        .select(F.col("q").alias("a"), "b")
-        .distinct()
-    )
-    found = verified(materialize(pairs, "opened-pairs"), docs, words, percent)
+    """Links between documents of different groups, by the token-group matrix.
+
+    Of two near groups the members of the smaller one are queries.  Pairs of documents exist only
+    inside the last join, whose condition is the exact test; it returns the links.
+    """
+    near = _near_groups(_matrix_rows(rows), percent)
+    # a group of several components is also near itself
+    mixed = rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    near = materialize(near.union(mixed.select("grp", F.col("grp").alias("gb"))), "near-groups")
+    ids = _small(materialize(near.select(F.col("ga").alias("grp")).union(near.select("gb")).distinct(), "near-ids"))
+    inside = materialize(rows.select("doc_id", "n", "comp", "grp").join(ids, "grp", "left_semi"), "near-members")
+    sizes = _small(materialize(inside.groupBy("grp").agg(F.count("*").alias("m")), "group-sizes"))
+    sized = near.join(sizes.select(F.col("grp").alias("ga"), F.col("m").alias("ma")), "ga").join(sizes.select(F.col("grp").alias("gb"), F.col("m").alias("mb")), "gb")
+    first = F.col("ma") <= F.col("mb")
+    sized = sized.select(F.when(first, F.col("ga")).otherwise(F.col("gb")).alias("asks"), F.when(first, F.col("gb")).otherwise(F.col("ga")).alias("grp"))
+    # the matrix has bounded the overlap of these; the last join opens them
+    opened = sized.join(inside.select(F.col("grp").alias("asks"), F.col("doc_id").alias("q"), "comp"), "asks").select("q", "comp", "grp").distinct()
+    opened = materialize(opened, "query-groups")
+    held = materialize(inside.select("doc_id").distinct(), "near-docs")
+    sets = materialize(token_sets(_with_ids(docs, held), words), "near-sets")
+    left = opened.join(sets.select(F.col("doc_id").alias("q"), F.col("tokens").alias("ta")), "q")
+    right = inside.select("grp", F.col("doc_id").alias("b"), "comp").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    fits = _sizes_fit(F.size("ta"), F.size("tb"), percent)
+    same = (100 + percent) * F.size(F.array_intersect("ta", "tb")) >= percent * (F.size("ta") + F.size("tb"))
+    met = left.alias("l").join(right.alias("r"), (F.col("l.grp") == F.col("r.grp")) & (F.col("l.comp") != F.col("r.comp")) & fits & same)
+    links = materialize(met.select(F.col("q").alias("a"), "b").distinct(), "opened-links")
     discard(sets)
-    return found
+    return links
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -291,14 +349,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     keys = ["doc_id", "n", "d1", "d2"]
     small = linked.select(*keys)
     classes = materialize(small.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    copies = small.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep")
-    copies = materialize(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
-    reps = linked.join(classes.withColumnRenamed("rep", "doc_id"), keys, "left_semi")
-    first = _first_groups(reps, docs, words, percent)
-    groups = components(first, "groups")
-    grouped = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), "prefix"
-    )
+    others = materialize(small.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").distinct(), "copies")
+    copies = others.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    others = others.select(*keys)
+    reps = linked.join(_small(others), keys, "left_anti")
+    met = _met_pivots(reps, docs, words, percent)
+    first = met.where("linked").select("a", "b")
+    linked_to = _small(components(first, "linked").select(F.col("node").alias("doc_id"), F.col("component").alias("comp")))
+    groups = _small(_groups(reps, met))
+    grouped = reps.join(linked_to, "doc_id", "left").join(groups, "doc_id", "left")
+    grouped = grouped.select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("grp", "doc_id").alias("grp"), "prefix")
     grouped = materialize(grouped, "grouped")
     sizes = materialize(signed.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
     discard(signed)

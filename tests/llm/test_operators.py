@@ -249,6 +249,7 @@ def family(rng, n, edits):
 def test_jaccard_against_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(jaccard, "COMMON", 8)
+    monkeypatch.setattr(jaccard, "GROUP_SIZE", 7)
     line = " ".join(f"common{i}" for i in range(12))
     bodies = family(rng, 60, 4) + [f"{line} " + " ".join(f"u{i}_{j}" for j in range(rng.randrange(3, 40))) for i in range(60)]
     bodies += [rng.choice(bodies) for _ in range(30)] + ["short text", "Short  text", "a b c d e", "a b c d e f", "", None]
