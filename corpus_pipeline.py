@@ -63,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and whether decoding them gives the text back."""
     path, pattern = bpe.public_vocabulary()
     plain = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    back = bpe.decode_documents(bpe.encode_documents(plain, path, pattern), path, pattern)
+    back = bpe.code_documents(plain, path, pattern, decoded="decoded")
     whole = F.col("decoded") == F.col("text").cast("binary")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", whole.alias("round_trip"))
 

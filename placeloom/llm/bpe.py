@@ -204,26 +204,44 @@ def _free(df: DataFrame, name: str) -> str:
     return name if name not in taken else next(f"{name}_{i}" for i in itertools.count(1) if f"{name}_{i}" not in taken)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (array<int>); a clashing name gets a number."""
-    column = _free(docs, ids)
+def code_documents(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = "ids", packed: str | None = None, decoded: str | None = None
+) -> DataFrame:
+    """``docs`` with the columns that are named: ids (array<int>), their little-endian bytes, the bytes decoded from them.
+
+    One pass encodes and decodes, so the ids leave the worker only if they are asked for.  A name
+    that ``docs`` has already gets a number.
+    """
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
+    kinds = ((ids, T.ArrayType(T.IntegerType())), (packed, T.BinaryType()), (decoded, T.BinaryType()))
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(_free(docs, n), k) for n, k in kinds if n]])
     names = schema.fieldNames()
+    want_ids, want_packed, want_decoded = (n is not None for n, _ in kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path, pattern).encode
+        made = codec(path, pattern)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                parts = [encode(x.as_py() or "") for x in batch.column(at)]
-                ends = np.cumsum([0, *map(len, parts)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
+            for start in range(0, whole.num_rows, 250):
+                batch = whole.slice(start, 250)
+                parts = [made.encode(x.as_py() or "") for x in batch.column(at)]
+                out = list(batch.columns)
+                if want_ids:
+                    ends = np.cumsum([0, *map(len, parts)])
+                    out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32())))
+                if want_packed:
+                    out.append(pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()))
+                if want_decoded:
+                    out.append(pa.array([made.decode(p) for p in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.mapInArrow(run, schema)
 
 
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with a column of token ids (array<int>)."""
+    return code_documents(docs, path, pattern, text, ids)
+
+
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded bytes and the packed little-endian ids."""
     out, packed = _free(encoded, decoded), _free(encoded, "packed_ids")
@@ -236,8 +254,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(path, pattern).decode
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 250):
+                batch = whole.slice(start, 250)
                 texts, raw = [], []
                 for x in batch.column(at):
                     values = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, dtype=np.int32)
@@ -261,12 +279,11 @@ def public_vocabulary() -> tuple[str, str]:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = encode_documents(plain, path, pattern).select("doc_id", "ids")
-    back = decode_documents(ids, path, pattern)
+    back = code_documents(plain, path, pattern, ids=None, packed="packed", decoded="decoded")
     return back.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2("packed_ids", 256).alias("ids_sha256"),
+        (F.octet_length("packed") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
