@@ -312,6 +312,45 @@ def test_lm_filter_and_probabilities(spark, monkeypatch):
     assert len(block) * 8 <= 640
 
 
+def test_lm_counts_bigrams_of_all_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP_WORDS", 4)
+    monkeypatch.setattr(lm, "CONTEXT_WORDS", 2)
+    rng = random.Random(3)
+    bodies = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(30)) + f" x{i % 20} y{i % 20} the of" for i in range(80)]
+    model, _ = lm.fit(spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string"))
+    words, pairs = Counter(), Counter()
+    for t in bodies:
+        own = lm.tokens_of(t.encode())
+        words.update(own)
+        pairs.update(zip(own, own[1:]))
+    types = Counter(a for a, _ in pairs)
+
+    def asked(*text):
+        ids = np.array([model.words.get(w, -1) for w in text])
+        rare = np.array([lm.word_key(w) for w in text if w not in model.words], dtype=np.uint64)
+        return ids, rare, np.array([0])
+
+    level = lambda n: lm.level_of(np.array([n]))[0]
+    exact = 0
+    for (a, b), n in pairs.items():
+        found = model.look(*asked(a, b))
+        assert found[1, 1] >= level(n)
+        exact += found[1, 1] == level(n)
+        if types[a] > 1 and model.words.get(a, 9) >= 2:
+            assert found[2, 1] >= level(types[a])
+    assert exact > 0.9 * len(pairs)
+    assert {model.words[w] for w in model.words if model.words[w] < 2} and all(
+        model.types[i] == max(types[w], 1) for w, i in model.words.items() if i < 2
+    )
+    # x and y are outside the frequent words and always stand together
+    x, y = b"x7", b"y7"
+    alone = model.score(*asked(x))[0] + model.score(*asked(y))[0]
+    assert x not in model.words and model.score(*asked(x, y))[0] > alone + 1
+    for context in (b"x7", b"the", b"a1"):
+        first = model.score(*asked(context))[0]
+        assert sum(10 ** (model.score(*asked(context, w))[0] - first) for w in words) <= 1.05
+
+
 def test_lm_odd_rows(spark, odd, empty):
     docs = odd.select("doc_id", "text").withColumn("held_out", F.lit(False))
     model, counts = lm.fit(docs.select("doc_id", "text"))
