@@ -351,6 +351,21 @@ def test_lm_counts_bigrams_of_all_words(spark, monkeypatch):
         assert sum(10 ** (model.score(*asked(context, w))[0] - first) for w in words) <= 1.05
 
 
+def test_lm_large_filter_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP_WORDS", 50)
+    docs = spark.createDataFrame([(i, f"a b c{i} d{i % 7} a c{i} e" if i else None, i % 5 == 0) for i in range(60)], "doc_id bigint, text string, held_out boolean")
+    train = docs.select("doc_id", "text")
+    model, counts = lm.fit(train)
+    whole = {r.doc_id: r for r in lm.score(docs, model, counts).collect()}
+    size = 8 * len(model.data)
+    cut, counts = lm.fit(train, size // 3)
+    assert len(model.passes) == 1 and len(cut.passes) >= 3
+    parts = [cut.of_pass(i) for i in range(len(cut.passes))]
+    assert sum(len(p.data) for p in parts) == len(model.data) and all(8 * len(p.data) <= size // 3 for p in parts)
+    # nothing is left out, and the passes give the same scores
+    assert {r.doc_id: r for r in lm.score(docs, cut, counts).collect()} == whole
+
+
 def test_lm_odd_rows(spark, odd, empty):
     docs = odd.select("doc_id", "text").withColumn("held_out", F.lit(False))
     model, counts = lm.fit(docs.select("doc_id", "text"))
