@@ -132,8 +132,8 @@ def phonetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normalize_candidates")
 def normalize_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index forms of all part names and of the documents' first lines."""
-    docs = fx.table(spark, sf_dir, "documents").select(F.split("text", "\n")[0].alias("name"))
+    """Index forms of all part names and of all lines of the documents."""
+    docs = fx.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("name"))
     names = docs.union(fx.table(spark, sf_dir, "part").select("p_name")).distinct()
     return names.select("name", F.array_join(text.normalize_udf()(F.col("name")), "|").alias("forms"), text.phonetic_udf()(F.col("name")).alias("phonetic"))
 

@@ -6,6 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from placeloom.functions import text
+from placeloom.plans import queries
 from placeloom.plans.registry import ORACLES, QUERIES
 
 
@@ -46,3 +48,13 @@ def test_query_matches_its_sql(spark, sf, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_normalize_candidates_of_all_lines(spark, tmp_path):
+    bodies = ["Norra Storgatan 5\nÅkers styckebruk\n\nSt. Eriks plan", "one line", "Norra Storgatan 5\nlast", None]
+    spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("green part",), ("one line",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    names = {line for b in bodies if b for line in b.split("\n")} | {"green part", "one line"}
+    rows = queries.normalize_candidates(spark, str(tmp_path)).collect()
+    assert len(rows) == len(names)
+    assert {(r.name, r.forms, r.phonetic) for r in rows} == {(n, "|".join(text.SWEDISH.candidates(n)), text.SWEDISH.phonetic(n)) for n in names}
