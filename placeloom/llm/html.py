@@ -39,6 +39,9 @@ BLOCK = frozenset(
     "html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th "
     "form fieldset figure figcaption blockquote pre address details summary hr center".split()
 )
+#: Open elements that a start tag of another name closes; what may stand in a head.
+_CLOSED_BY = {"option": frozenset(("option", "optgroup", "hr", "select"))}
+_HEAD = frozenset("head title base basefont link meta script style noscript template".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot".split())
 KINDS = "root main article section aside nav header footer div p heading list item table cell form quote other".split()
 _KIND_OF = {
@@ -94,7 +97,8 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("root", 0)]
     run: list[str] = []
     links = 0
-    hidden = 0
+    #: open silent elements with the height of the stack they stand at
+    hidden: list[tuple[str, int]] = []
     linked = 0
 
     def flush() -> None:
@@ -114,6 +118,8 @@ def parse(source: str) -> Page:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if hidden and hidden[-1][0] == "head" and raw.strip():
+            hidden.pop()
         if raw and not hidden:
             text = entities.unescape(raw)
             run.append(text)
@@ -126,8 +132,25 @@ def parse(source: str) -> Page:
             if stack[i][0] == tag:
                 flush()
                 del stack[i:]
+                unhide()
                 return
 
+    def unhide() -> None:
+        """Silent elements end with the element they stand in."""
+        while hidden and hidden[-1][1] > len(stack):
+            hidden.pop()
+
+    def opens(name: str) -> None:
+        """A start tag ends silent elements that can't hold it."""
+        if hidden and hidden[-1][0] == "head" and name not in _HEAD:
+            hidden.pop()
+        if hidden and name in _CLOSED_BY.get(hidden[-1][0], ()):
+            hidden.pop()
+        # svg and math never hold blocks of the page, and a list of options none either
+        if name in BLOCK and name != "hr":
+            while hidden and hidden[-1][0] in ("svg", "math", "select", "option"):
+                hidden.pop()
+
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
@@ -139,6 +162,8 @@ def parse(source: str) -> Page:
         closing, name = m.group(1), (m.group(2) or "").lower()
         if not name:
             continue
+        if not closing:
+            opens(name)
         if name in RAW and not closing and not m.group(0).endswith("/>"):
             # raw text ends at its own end tag alone
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
@@ -153,6 +178,7 @@ def parse(source: str) -> Page:
                 stack.pop()
             if name in ("li", "dt", "dd", "tr", "td", "th"):
                 _close_sibling(stack, name)
+            unhide()
             if name in VOID:
                 continue
             hint = " ".join(a or b or c for a, b, c in _HINTS.findall(m.group(3))).lower() if "=" in m.group(3) else ""
@@ -164,12 +190,15 @@ def parse(source: str) -> Page:
             say(" ")
         elif name == "a":
             links = max(0, links + (-1 if closing else 1))
-        elif name in SILENT and name not in ("head", "title"):
-            hidden = max(0, hidden + (-1 if closing else 1))
-        elif name == "head":
-            hidden = 0 if closing else 1
+        elif name in SILENT and closing:
+            for i in range(len(hidden) - 1, -1, -1):
+                if hidden[i][0] == name:
+                    del hidden[i:]
+                    break
+        elif name in SILENT and name not in RAW and not m.group(3).rstrip().endswith("/"):
+            hidden.append((name, len(stack)))
         if name == "body" and not closing:
-            hidden = 0
+            hidden.clear()
     flush()
     return Page(nodes, blocks)
 

@@ -424,6 +424,26 @@ def test_pii_long_runs_and_empty(spark, odd, empty):
 # --- main text
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<select><option>A<option>B</select>", "<select><optgroup><option>A<optgroup><option>B</select>", "<div><select><option>A</div>", "<svg viewBox='0'/>", "<svg><path/><text>A</svg>",
+        "<div><svg><path></div>", "<svg><path>", "<ul><li><button>A<li>B</ul>", "<div><canvas>A</div>", "</select></svg>", "<object data='x'/>",
+    ],
+)
+def test_html_silent_elements_end(before):
+    for page in (f"<html><body>{before}<p>The article.</p></body></html>", f"<html><head><title>T</title><meta a=b>{before}<p>The article.</p>"):
+        said = [t for _, t in html.parse(page).blocks]
+        assert said[-1] == "The article." and not {"A", "T"} & set(said), page
+
+
+def test_html_head_without_end():
+    assert [t for _, t in html.parse("<head><title>T</title><style>x</style>\n<p>one</p>two").blocks] == ["one", "two"]
+    assert [t for _, t in html.parse("<head><link a=b>text<p>one").blocks] == ["text", "one"]
+    assert [t for _, t in html.parse("<body><p>a<video>no<p>no</p></video>b<svg><title>no</title></svg>c").blocks][0][0] == "a"
+    assert "no" not in " ".join(t for _, t in html.parse("<p>a <svg><title>no</title><text>no</text></svg> <button>no</button> b</p>").blocks)
+
+
 def test_html_generated_pages():
     model = html.model()
     right = total = 0
