@@ -55,7 +55,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What each type looks like, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[\p{L}\p{N}-]{2,63}",
-    "secret": r"(?<=[\"'])(?<=(?i:token|secret|passw|pwd|key|word) ?[=:] ?[\"'])[^\"'\s]{8,512}(?=[\"'])",
+    "secret": r"(?<=[\"'])(?<=(?i:token|secret|passw|pwd|key|word)[\"']? ?[=:] ?[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "iban": r"(?=[A-Z]{2}[0-9]{2})(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![0-9+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",

@@ -380,6 +380,17 @@ def test_lm_odd_rows(spark, odd, empty):
 # --- PII
 
 
+def test_pii_long_secrets_and_quoted_keys(spark):
+    rng = random.Random(9)
+    secrets = ["".join(rng.choice("abcdefXYZ0123456789._-") for _ in range(n)) for n in (512, 513, 3000, 40, 40)]
+    forms = ['token = "{}"', "token = '{}'", 'secret: "{}"', '{{"api_key": "{}", "n": 1}}', "{{'password' : '{}'}}"]
+    rows = [f.format(x) for f, x in zip(forms, secrets)] + ['"colour": "abcdefghij"', 'token = "short"']
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    for before, after, x in zip(rows, out, secrets):
+        assert x not in after and len(after) == len(before) and x[:20] not in after and x[-20:] not in after
+    assert out[5:] == rows[5:]
+
+
 def test_pii_types_and_coreference(spark):
     rows = [
         "mail Bob.12@mail4.org, bob.12@mail4.org call +1 (017) 555-7713 card 4111111111111111 ip 152.143.123.131###",
