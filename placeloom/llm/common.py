@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,6 +22,14 @@ def ascii_lower(col: Column | str) -> Column:
     return F.translate(F.col(col) if isinstance(col, str) else col, _UPPER, _UPPER.lower())
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended while ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; null ids count as fold of the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
@@ -72,3 +81,13 @@ def discard(*tables: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(df._written_to)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner free broadcasts and shuffles that no plan holds any more.
+
+    The cleaner learns of them from the driver's garbage collections alone, which are rare where
+    the plans are small; until then the copies stay on the driver and on every executor.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
