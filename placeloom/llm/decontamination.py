@@ -1,15 +1,17 @@
 """Benchmark decontamination over a positional inverted index.
 
-``build_index`` turns documents into inverted segments (term -> positions of all occurrences of
-the benchmark's vocabulary), which are stored as a table.  ``search`` intersects the
-offset-adjusted position lists of every benchmark window, starting from its rarest term in the
-segment, and returns exact phrase hits; ``proximity`` returns the places where all words of an
-item stand within a span.  A segment holds a bounded number of tokens, so memory does not grow
-with the corpus and no posting list of a frequent word meets in one task.
+``build_index`` turns documents into inverted segments (term -> positions of all its occurrences,
+for all words of the documents), which are stored as a table; an index serves any number of
+benchmarks.  ``search`` intersects the offset-adjusted position lists of every benchmark window,
+starting from its rarest term in the segment, and returns exact phrase hits; ``proximity`` returns
+the places where all words of an item stand within a span.  A segment holds a bounded number of
+tokens, or one document, so memory does not grow with the corpus and no posting list of a frequent
+word meets in one task.
 
 Defined results: a null or wordless text has no words and no hits; null or wordless items match
-nothing; an item with a null id marks words as hit but is not listed; repeated documents each
-get their own row; an empty benchmark leaves every document clean; other columns are ignored.
+nothing; an item with a null id marks words as hit but is not listed; repeated documents, and
+different ones with one doc_id or none, each get their own row; an empty benchmark leaves every
+document clean; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +37,15 @@ SEGMENT_TOKENS = 1_000_000
 BLOCK_BYTES = 64 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
+#: Bytes of a text whose words are taken at once.
+PIECE_BYTES = 4 << 20
+
 INDEX_SCHEMA = (
-    "doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>, "
-    "terms binary, offsets binary, positions binary"
+    "segment bigint, doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>, "
+    "lexicon array<binary>, offsets binary, gaps binary"
 )
-HIT_SCHEMA = "doc_id bigint, n_words bigint, hit_starts array<int>, hit_ends array<int>, items array<string>"
+#: ``row`` numbers the documents of an index
+HIT_SCHEMA = "row string, doc_id bigint, n_words bigint, hit_starts array<int>, hit_ends array<int>, items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -45,6 +53,18 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text cut behind white space, so that its words need not be held at once."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE_BYTES
+        if end < len(text):
+            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
+            end = cut + 1 if cut > at else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Phrases:
     """The distinct windows of one block of the benchmark, as rows of term numbers."""
 
@@ -67,60 +87,62 @@ class Phrases:
             by_length[len(phrase)].append(phrase)
         self.windows = {n: np.array(rows, dtype=np.int32) for n, rows in by_length.items()}
         self.owners = {n: [sorted(owners[r]) for r in rows] for n, rows in by_length.items()}
+        self.words = pa.array(list(self.vocabulary), pa.binary())
 
 
 class _Segment:
     """Tokens gathered for one segment; documents are kept apart by one empty position."""
 
-    def __init__(self) -> None:
+    def __init__(self, number: int) -> None:
+        self.number = number
         self.ids: list[int | None] = []
         self.starts: list[int] = []
         self.lengths: list[int] = []
         self.parts: list[np.ndarray] = []
+        self.lexicon: dict[bytes, int] = {}
         self.size = 0
 
-    def add(self, doc_id: int | None, terms: list[int]) -> None:
+    def add(self, doc_id: int | None, text: bytes) -> None:
         self.ids.append(doc_id)
         self.starts.append(self.size)
-        self.lengths.append(len(terms))
-        self.parts.append(np.array([*terms, -1], dtype=np.int32))
-        self.size += len(terms) + 1
+        put, terms = self.lexicon.setdefault, self.lexicon
+        for piece in _pieces(text):
+            own = np.array([put(w, len(terms)) for w in words_of(piece)], dtype=np.int32)
+            self.parts.append(own)
+            self.size += len(own)
+        self.lengths.append(self.size - self.starts[-1])
+        self.parts.append(np.array([-1], dtype=np.int32))
+        self.size += 1
 
     def batch(self) -> pa.RecordBatch:
         tokens = np.concatenate(self.parts)
         at = np.flatnonzero(tokens >= 0)
-        order = np.argsort(tokens[at], kind="stable")
-        positions = at[order].astype(np.int32)
-        terms, first = np.unique(tokens[positions], return_index=True)
-        offsets = np.append(first, len(positions)).astype(np.int64)
+        positions = at[np.argsort(tokens[at], kind="stable")]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(tokens[at], minlength=len(self.lexicon)))])
+        gaps = np.diff(positions, prepend=0).astype(np.int32)
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (self.ids, self.starts, self.lengths)]
+        lexicon = pa.ListArray.from_arrays(pa.array([0, len(self.lexicon)], pa.int32()), pa.array(list(self.lexicon), pa.binary()))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([self.ids], pa.list_(pa.int64())),
-                pa.array([self.starts], pa.list_(pa.int64())),
-                pa.array([self.lengths], pa.list_(pa.int64())),
-                pa.array([terms.astype(np.int32).tobytes()], pa.binary()),
-                pa.array([offsets.tobytes()], pa.binary()),
-                pa.array([positions.tobytes()], pa.binary()),
-            ],
-            names=["doc_ids", "starts", "lengths", "terms", "offsets", "positions"],
+            [pa.array([self.number], pa.int64()), *lists, lexicon, pa.array([offsets.astype(np.int64).tobytes()], pa.binary()), pa.array([gaps.tobytes()], pa.binary())],
+            names=["segment", "doc_ids", "starts", "lengths", "lexicon", "offsets", "gaps"],
         )
 
 
-def build_index(docs: DataFrame, phrases: Phrases, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """Inverted segments of ``docs`` (doc_id, text) over the vocabulary of ``phrases``."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases.vocabulary)
+def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
+    """Inverted segments of ``docs`` (doc_id, text), to be stored; segments are numbered by the task that makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value.get
-        segment = _Segment()
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        segment = _Segment(number)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                raw = text.as_py()
-                segment.add(doc_id, [find(w, -1) for w in words_of(raw)] if raw else [])
+                segment.add(doc_id, text.as_py() or b"")
                 if segment.size >= segment_tokens:
                     yield segment.batch()
-                    segment = _Segment()
+                    segment = _Segment(segment.number + 1)
         if segment.ids:
             yield segment.batch()
 
@@ -130,16 +152,21 @@ def build_index(docs: DataFrame, phrases: Phrases, segment_tokens: int = SEGMENT
 
 
 class _Postings:
-    """Read side of a segment."""
-
-    def __init__(self, row: dict, n_terms: int):
-        terms = np.frombuffer(row["terms"], dtype=np.int32)
-        offsets = np.frombuffer(row["offsets"], dtype=np.int64)
-        self.positions = np.frombuffer(row["positions"], dtype=np.int32)
-        self.begin = np.zeros(n_terms, dtype=np.int64)
-        self.count = np.zeros(n_terms, dtype=np.int64)
-        self.begin[terms] = offsets[:-1]
-        self.count[terms] = np.diff(offsets)
+    """Read side of a segment, for the terms of one block of the benchmark."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, phrases: Phrases):
+        self.number, self.ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+        self.starts, self.lengths = (np.array(batch.column(c)[i].as_py(), dtype=np.int64) for c in (2, 3))
+        offsets = np.frombuffer(batch.column(5)[i].as_buffer(), dtype=np.int64)
+        self.positions = np.cumsum(np.frombuffer(batch.column(6)[i].as_buffer(), dtype=np.int32), dtype=np.int64)
+        n = max(1, len(phrases.words))
+        self.begin = np.zeros(n, dtype=np.int64)
+        self.count = np.zeros(n, dtype=np.int64)
+        local = pc.index_in(phrases.words, value_set=batch.column(4)[i].values)
+        known = np.flatnonzero(local.is_valid().to_numpy(zero_copy_only=False))
+        at = local.drop_null().to_numpy()
+        self.begin[known] = offsets[at]
+        self.count[known] = offsets[at + 1] - offsets[at]
 
     def of(self, term: int) -> np.ndarray:
         return self.positions[self.begin[term] : self.begin[term] + self.count[term]]
@@ -160,11 +187,10 @@ class _Postings:
         return found if found is not None else np.empty(0, dtype=np.int64)
 
 
-def _phrase_hits(row: dict, phrases: Phrases, n_terms: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+def _phrase_hits(postings: _Postings, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Merged hit spans of a segment (starts, ends) and the items found in each document."""
-    postings = _Postings(row, n_terms)
-    doc_starts = np.array(row["starts"], dtype=np.int64)
-    size = int(doc_starts[-1] + row["lengths"][-1] + 1)
+    doc_starts = postings.starts
+    size = int(doc_starts[-1] + postings.lengths[-1] + 1)
     edges = np.zeros(size + 1, dtype=np.int64)
     items: list[set[str]] = [set() for _ in doc_starts]
     for length, windows in phrases.windows.items():
@@ -190,22 +216,23 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
         block = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
-                starts, ends, items = _phrase_hits(row, block, max(1, len(block.vocabulary)))
-                bounds = np.array(row["starts"], dtype=np.int64)
+                postings = _Postings(batch, i, block)
+                starts, ends, items = _phrase_hits(postings, block)
+                bounds = postings.starts
                 owner = np.searchsorted(bounds, starts, side="right") - 1
                 cuts = np.searchsorted(owner, np.arange(len(bounds) + 1))
                 local_s, local_e = starts - bounds[owner], ends - bounds[owner]
                 offsets = pa.array(cuts, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(row["lengths"], pa.int64()),
+                        pa.array([f"{postings.number}:{d}" for d in range(len(bounds))], pa.string()),
+                        pa.array(postings.ids, pa.int64()),
+                        pa.array(postings.lengths, pa.int64()),
                         pa.ListArray.from_arrays(offsets, pa.array(local_s, pa.int32())),
                         pa.ListArray.from_arrays(offsets, pa.array(local_e, pa.int32())),
                         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "hit_starts", "hit_ends", "items"],
+                    names=["row", "doc_id", "n_words", "hit_starts", "hit_ends", "items"],
                 )
 
     return index.mapInArrow(run, HIT_SCHEMA)
@@ -223,9 +250,8 @@ def proximity(index: DataFrame, phrases: Phrases, span: int) -> DataFrame:
         block = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
-                postings = _Postings(row, max(1, len(block.vocabulary)))
-                bounds = np.array(row["starts"], dtype=np.int64)
+                postings = _Postings(batch, i, block)
+                bounds = postings.starts
                 out: list[tuple] = []
                 for item_id, ids in block.item_terms:
                     terms = np.unique(ids)
@@ -235,9 +261,9 @@ def proximity(index: DataFrame, phrases: Phrases, span: int) -> DataFrame:
                     for anchor in lists[0]:
                         d = int(np.searchsorted(bounds, anchor, side="right") - 1)
                         low = max(int(bounds[d]), int(anchor) - span + 1)
-                        high = min(int(bounds[d]) + row["lengths"][d], int(anchor) + span)
+                        high = min(int(bounds[d]) + int(postings.lengths[d]), int(anchor) + span)
                         if (start := _tightest(lists, low, high, span)) is not None:
-                            out.append((row["doc_ids"][d], item_id, start - int(bounds[d])))
+                            out.append((postings.ids[d], item_id, start - int(bounds[d])))
                 cols = list(zip(*sorted(set(out), key=str))) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
@@ -276,28 +302,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Phrases]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Hit spans and items of every document of ``docs`` (doc_id, text): see ``HIT_SCHEMA``.
 
-    A benchmark beyond ``block_bytes`` is searched block by block and the spans are merged.
+    A benchmark beyond ``block_bytes`` is searched block by block in the one index; what the
+    blocks find in a document is merged by the document's row of the index.
     """
-    found: DataFrame | None = None
-    n_blocks = 0
-    for phrases in _blocks(benchmark, block_bytes):
-        # the text's hash stands for the row where blocks are merged
-        hits = search(materialize(build_index(docs, phrases), "postings"), phrases)
-        found = hits if found is None else found.unionByName(hits)
-        n_blocks += 1
-    if n_blocks == 1:
-        return found
+    index = materialize(build_index(docs), "postings")
+    blocks = [search(index, phrases) for phrases in _blocks(benchmark, block_bytes)]
+    if len(blocks) == 1:
+        return blocks[0]
     spans = F.transform(F.arrays_zip("hit_starts", "hit_ends"), lambda x: F.sequence(x.hit_starts, x.hit_ends - 1))
-    merged = found.withColumn("hits", F.flatten(spans)).groupBy("doc_id", "n_words").agg(
+    found = reduce(DataFrame.unionByName, blocks).withColumn("hits", F.flatten(spans))
+    merged = found.groupBy("row", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / n_blocks).cast("int").alias("times"),
-    )
-    return merged.select(
-        F.explode(F.array_repeat(F.struct("doc_id", "n_words", "hits", "items"), F.col("times"))).alias("r")
-    ).select(
-        "r.doc_id", "r.n_words", F.col("r.hits").alias("hit_starts"), F.transform("r.hits", lambda x: x + 1).alias("hit_ends"), "r.items"
     )
+    return merged.select("row", "doc_id", "n_words", F.col("hits").alias("hit_starts"), F.transform("hits", lambda x: x + 1).alias("hit_ends"), "items")
 
 
 def summary(hits: DataFrame) -> DataFrame:
