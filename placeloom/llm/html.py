@@ -29,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeloom.llm.common import table
+from placeloom.llm.common import free, table
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head title iframe object select option textarea button canvas audio video".split())
+SILENT = frozenset("script style noscript template svg annotation head title iframe object select option textarea button canvas audio video".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 BLOCK = frozenset(
     "html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th "
     "form fieldset figure figcaption blockquote pre address details summary hr center".split()
 )
+#: Silent elements that end before the next block where the page has no end tag for them.
+MEDIA = frozenset("audio video canvas object".split())
 #: Open elements that a start tag of another name closes; what may stand in a head.
 _CLOSED_BY = {"option": frozenset(("option", "optgroup", "hr", "select"))}
 _HEAD = frozenset("head title base basefont link meta script style noscript template".split())
@@ -61,7 +63,12 @@ BAD_HINT = re.compile(
 )
 GOOD_HINT = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|story|entry|body|text)(?:$|[^a-z])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+#: A comment, a declaration or a tag; quotes in a tag count behind an equals sign alone.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+    r"((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?)*+)(?:>|$)",
+    re.S,
+)
 _HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -99,6 +106,8 @@ def parse(source: str) -> Page:
     links = 0
     #: open silent elements with the height of the stack they stand at
     hidden: list[tuple[str, int]] = []
+    #: places of the last end tags
+    last: dict[str, int] = {}
     linked = 0
 
     def flush() -> None:
@@ -146,11 +155,17 @@ def parse(source: str) -> Page:
             hidden.pop()
         if hidden and name in _CLOSED_BY.get(hidden[-1][0], ()):
             hidden.pop()
-        # svg and math never hold blocks of the page, and a list of options none either
+        # svg never holds blocks of the page, and a list of options none either
         if name in BLOCK and name != "hr":
-            while hidden and hidden[-1][0] in ("svg", "math", "select", "option"):
+            while hidden and (hidden[-1][0] in ("svg", "select", "option") or hidden[-1][0] in MEDIA and not ends(hidden[-1][0])):
                 hidden.pop()
 
+    def ends(tag: str) -> bool:
+        """Whether an end tag is still to come."""
+        if tag not in last:
+            last[tag] = max((x.start() for x in re.finditer(rf"</{tag}(?![a-z0-9:-])", source, re.I)), default=-1)
+        return last[tag] >= at
+
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
@@ -164,10 +179,18 @@ def parse(source: str) -> Page:
             continue
         if not closing:
             opens(name)
-        if name in RAW and not closing and not m.group(0).endswith("/>"):
-            # raw text ends at its own end tag alone
-            end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            at = end.end() if end else n
+        if name in RAW and not closing:
+            # raw text ends at its own end tag alone; a self-closed element may have none of its own
+            end = re.compile(rf"</{name}(?![a-z0-9:-])[^>]*(?:>|$)", re.I).search(source, at)
+            if m.group(3).rstrip().endswith("/"):
+                again = re.compile(rf"<{name}(?![a-z0-9:-])", re.I).search(source, at, end.start() if end else n)
+                end = None if again else end
+                at = end.end() if end else at
+            elif end or name in ("script", "style"):
+                at = end.end() if end else n
+            else:
+                cut = source.find("<", at)
+                at = cut if cut >= 0 else n
             continue
         if name in BLOCK:
             if closing:
@@ -492,7 +515,8 @@ def model() -> Model:
 
 
 def extract_pages(pages: DataFrame, trained: Model | None = None, source: str = "html", column: str = "main_text") -> DataFrame:
-    """``pages`` with a column of main texts."""
+    """``pages`` with a column of main texts, its name followed by underscores where it is taken."""
+    column = free(pages, column)
     shared = pages.sparkSession.sparkContext.broadcast(trained or model())
     at = pages.columns.index(source)
     schema = T.StructType([*pages.schema.fields, T.StructField(column, T.StringType())])
