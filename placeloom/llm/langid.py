@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeloom.llm.common import fold_of, table
+from placeloom.llm.common import fold_of, free, table
 
 #: Bound of the training sample: documents of each language, chosen by the hash of doc_id (the
 #: expected number), and languages, the most frequent first.
@@ -240,7 +240,8 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, pieces: list[st
 
 
 def identify(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with predicted language and score; only the text is read for them."""
+    """``docs`` with predicted language and score, under names with underscores where they are taken; only the text is read for them."""
+    language, score = free(docs, language), free(docs, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
