@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import discard, materialize, table
+from placeloom.llm.common import discard, materialize, release, table
 from placeloom.llm.components import components
 
 WORDS = 5
@@ -41,11 +41,13 @@ GROUP_SIZE = 256
 #: Tokens of more groups than this go to the end of the token order.
 COMMON = 100
 #: Common tokens that are broadcast; those of fewer groups beyond it stay in plain order.
-COMMON_BOUND = 2_000_000
+COMMON_BOUND = 500_000
+#: Tokens that are broadcast to pick rows; beyond it the rows are joined by an exchange.
+TOKENS_BOUND = 300_000
 #: Rounds in which common tokens are looked for.
 ORDER_ROUNDS = 2
 #: Document ids that are broadcast to pick texts; beyond it the texts are joined by an exchange.
-IDS_BOUND = 1_000_000
+IDS_BOUND = 300_000
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -226,7 +228,7 @@ def _common_tokens(rows: DataFrame, column: str) -> np.ndarray:
     firsts = rows.where("doc_id = grp").select(F.explode(column).alias("token"))
     counted = firsts.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > COMMON)
     top = counted.orderBy(F.desc("m"), "token").limit(COMMON_BOUND).select("token")
-    return np.array([r[0] for r in top.toLocalIterator()], dtype=np.int64).view(np.uint64)
+    return top.toArrow()["token"].to_numpy().view(np.uint64)
 
 
 def _holders(rows: DataFrame, common: np.ndarray) -> DataFrame:
@@ -263,7 +265,7 @@ def _matrix_rows(rows: DataFrame) -> DataFrame:
     shared = each.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     shared = materialize(shared, "shared-tokens")
     # tokens are as many as the input has, so they are broadcast only while they are few
-    if shared.count() <= COMMON_BOUND:
+    if shared.count() <= TOKENS_BOUND:
         shared = F.broadcast(shared)
     return materialize(each.join(shared, "token", "left_semi"), "matrix-rows")
 
@@ -287,7 +289,7 @@ def _near_groups(held: DataFrame, percent: int) -> DataFrame:
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     several = held.groupBy("token").agg(F.min("grp").alias("lowest"), F.max("grp").alias("highest")).where("lowest < highest").select("token", "highest")
     several = materialize(several, "met-tokens")
-    held = held.join(F.broadcast(several) if several.count() <= COMMON_BOUND else several, "token")
+    held = held.join(F.broadcast(several) if several.count() <= TOKENS_BOUND else several, "token")
     matrix = held.withColumn("step", step).groupBy("token", "grp", "step").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"), F.max("highest").alias("highest")
     )
@@ -362,8 +364,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     grouped = materialize(grouped, "grouped")
     sizes = materialize(signed.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
     discard(signed)
+    release(docs.sparkSession)
     rest = _open_groups(_ordered_prefixes(grouped, docs, words, percent), docs, words, percent)
     discard(grouped)
+    release(docs.sparkSession)
     labels = components(copies.union(first).union(rest), "classes")
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
