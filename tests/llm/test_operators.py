@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import hmac
 import io
 import random
 import re
@@ -380,28 +381,41 @@ def test_lm_odd_rows(spark, odd, empty):
 # --- PII
 
 
+def replaced(spark, rows, **kw):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    return [r.text for r in pii.replace_pii(df, kw.pop("key", "k"), **kw).orderBy("doc_id").collect()]
+
+
 def test_pii_long_secrets_and_quoted_keys(spark):
     rng = random.Random(9)
     secrets = ["".join(rng.choice("abcdefXYZ0123456789._-") for _ in range(n)) for n in (512, 513, 3000, 40, 40)]
     forms = ['token = "{}"', "token = '{}'", 'secret: "{}"', '{{"api_key": "{}", "n": 1}}', "{{'password' : '{}'}}"]
     rows = [f.format(x) for f, x in zip(forms, secrets)] + ['"colour": "abcdefghij"', 'token = "short"']
-    out = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    out = replaced(spark, rows)
     for before, after, x in zip(rows, out, secrets):
         assert x not in after and len(after) == len(before) and x[:20] not in after and x[-20:] not in after
     assert out[5:] == rows[5:]
 
 
+def test_pii_masked_secrets_end(spark):
+    rows = ['password = "********"', 'password = "--------"', 'password = "------a-"', 'password = "********" again'] + [f'pwd: "-------{c}"' for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = replaced(spark, rows)
+    drawn = [re.search('"(.*)"', x).group(1) for x in out]
+    assert drawn[0] == drawn[3] and not {re.search('"(.*)"', x).group(1) for x in rows} & set(drawn)
+    assert len(set(drawn)) == len(rows) - 1 and drawn[0].isalpha() and len(drawn[0]) == 8
+
+
 def test_pii_types_and_coreference(spark):
     rows = [
         "mail Bob.12@mail4.org, bob.12@mail4.org call +1 (017) 555-7713 card 4111111111111111 ip 152.143.123.131###",
         'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and TOKEN = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"',
         "Mary Miller met Анна Иванова, ssn 123-45-6789, DE89 3704 0044 0532 0130 00",
         "+1-017-555-7713 and bob.12@mail4.org",
-        "nothing here 12 3.4 1.2.3 a@ @b Mary had", "", None,
+        "nothing here 12 3.4 1.2.3 a@ @b Mary had 4111111111111112", "", None,
     ]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(rows)], "doc_id bigint, text string, kind string")
-    out = {r.doc_id: r.text for r in pii.replace_pii(df, count="n").collect()}
-    assert out[4:] if False else (out[4], out[5], out[6]) == (rows[4], "", None)
+    out = {r.doc_id: r.text for r in pii.replace_pii(df, "k", count="n").collect()}
+    assert (out[4], out[5], out[6]) == (rows[4], "", None)
     for secret in ("bob.12", "Bob.12", "555-7713", "4111111111111111", "152.143", "24be6443", "24BE6443", "Miller", "Иванова", "123-45-6789", "3704"):
         assert not any(secret in (t or "") for t in out.values()), secret
     mails = re.findall(r"\S+@\S+?\.example", " ".join(t for t in out.values() if t))
@@ -409,27 +423,124 @@ def test_pii_types_and_coreference(spark):
     digits = [re.sub(r"\D", "", x) for x in re.findall(r"\+1[ (\d)-]+\d{4}", " ".join((out[0], out[3])))]
     assert digits[0] == digits[1] and digits[0].startswith("1") and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[0])
     card = re.search(r"card (\d{16})", out[0]).group(1)
-    assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(card))) % 10 == 0
-    given = re.match(r"(\w+) \w+ met (\w+) \w+,", out[2]).groups()
+    assert luhn(card)
+    given = re.match(r"(\w+) \w+ met (\w+) \w+(?:ова|ева|ина|ская|\w),", out[2]).groups()
     assert given[0] in pii.FEMALE["latin"].split() and given[1] in pii.FEMALE["cyrillic"].split()
-    joined = {r.doc_id: r.text for r in pii.replace_pii(df, inline=-1).collect()}
+    joined = {r.doc_id: r.text for r in pii.replace_pii(df, "k", inline=-1).collect()}
     assert joined == out
-    assert {r.doc_id: r.text for r in pii.replace_pii(df, key="other").collect()}[0] != out[0]
+    assert {r.doc_id: r.text for r in pii.replace_pii(df, "other").collect()}[0] != out[0]
+
+
+def test_pii_names_by_words(spark):
+    rows = [
+        "José María García met Emma Schmidt-Weber. Later Emma, Weber and García spoke; GARCÍA did not.",
+        "Wang Fang and Dr. von Hagen and Mr O'Neil. My name is Olga Petrova.",
+        "Emma García", "Emma had a Weber.", "Mr smith, Dr no. The Mary Poppins",
+    ]
+    out = replaced(spark, rows)
+    for word in ("José", "María", "García", "Emma", "Schmidt", "Weber", "Wang", "Fang", "Hagen", "Neil", "Olga", "Petrova", "Poppins"):
+        assert not any(word in x for i, x in enumerate(out) if i != 3), word
+    first, again = re.match(r"(.*) met (.*)\. Later", out[0]).groups(), re.search(r"Later (\w+), (\w+) and (\w+) spoke", out[0]).groups()
+    assert again == (again[0], again[1], first[0].split()[2]) and first[1].startswith(again[0] + " ") and first[1].endswith("-" + again[1])
+    assert out[2] == f"{again[0]} {again[2]}" and first[0].split()[0] in pii.MALE["latin"].split() and first[0].split()[1] in pii.FEMALE["latin"].split()
+    assert "GARCÍA" in out[0] and " von " in out[1] and out[1].count("Dr. ") == 1 and "My name is " in out[1]
+    assert out[3] == rows[3] and out[4].startswith("Mr smith, Dr no. The ")
+
+
+def test_pii_keeps_scripts_and_whole_addresses(spark):
+    rows = ["иван.петров@почта.example", "a" * 70 + "@x.org", "password = '密碼密碼密碼密碼'", "an_é.x@y.z.example.org"]
+    out = replaced(spark, rows)
+    assert re.fullmatch(r"[а-я]{4}\.[а-я]{6}@[а-я]{5}\.example", out[0]) and re.fullmatch(r"[a-z]{70}@[a-z]\.example", out[1])
+    assert re.fullmatch(r"password = '[一-鿿]{8}'", out[2]) and not set(out) & set(rows)
+
+
+def model_digest(key, *parts):
+    return hmac.new(key.encode(), "|".join(map(str, parts)).encode(), "sha512").hexdigest()
+
+
+def model_draw(digest, i, n):
+    return int(digest[i % 31 * 4 : i % 31 * 4 + 4], 16) % n
+
+
+def model_like(digest, text):
+    """Plain model of ``pii._like`` for ASCII texts."""
+    kind = "hex" if re.fullmatch("[0-9a-f]+", text) else "HEX" if re.fullmatch("[0-9A-F]+", text) else "text"
+    out = ""
+    for i, c in enumerate(text):
+        d = digest if i < 31 else hashlib.sha512((digest + str(i // 31)).encode()).hexdigest()
+        if kind != "text":
+            out += ("%x" if kind == "hex" else "%X") % model_draw(d, i, 16)
+        elif c.isdigit():
+            out += str(model_draw(d, i, 10))
+        else:
+            out += chr((97 if c.islower() else 65) + model_draw(d, i, 1 << 16) % 26) if c.isalpha() else c
+    return out
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def model_surrogate(kind, entity, key):
+    """First draws of the types that the documents hold."""
+    if kind == "card":
+        d = model_digest(key, kind, entity, 0)
+        body = entity[0] + "".join(str(model_draw(d, i, 10)) for i in range(2, len(entity)))
+        return next(body + c for c in "0123456789" if luhn(body + c)) if luhn(entity) else entity
+    if kind == "ip":
+        d = model_digest(key, kind, entity, 0)
+        return ".".join(str(1 + model_draw(d, i, 254)) for i in range(4))
+    if kind == "phone":
+        digits = re.sub(r"\D", "", entity)
+        kept = len(re.match(r"\+?(\d{0,3})", entity).group(1))
+        d = model_digest(key, kind, digits, 0)
+        new = iter(c if i <= kept else str(model_draw(d, i, 10)) for i, c in enumerate(digits, 1))
+        return re.sub(r"\d", lambda _: next(new), entity)
+    if kind == "email":
+        local, _, domain = entity.lower().partition("@")
+        return model_like(model_digest(key, kind, entity.lower(), 0), f"{local}@{domain.split('.')[0]}") + ".example"
+    return model_like(model_digest(key, kind, entity, 0), entity)
+
+
+def test_pii_against_a_plain_model(spark, sf):
+    """Every document of the small tables, by patterns and draws written anew."""
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    forms = [
+        ("email", r"(?<![\w.%+-])[\w.%+-]+@(?:[^\W_]+\.)+[^\W_]{2,63}"), ("secret", r"(?<=(?:token) = [\"'])[^\"'\s]{8,}(?=[\"'])"),
+        ("ip", rf"(?<![0-9.])(?:{octet}\.){{3}}{octet}(?!\d|\.\d)"), ("phone", r"(?<![\d+])\+\d{1,3} \(\d{1,4}\) \d{2,4}-\d{2,4}(?!\d)"),
+        ("card", r"(?<![\d+.-])\d{13,19}(?!\d)"),
+    ]
+    one = re.compile("|".join(f"(?P<{k}>{p})" for k, p in forms))
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace_pii(docs, "k", count="n").collect()}
+    total = 0
+    for row in docs.collect():
+        found = [m for m in one.finditer(row.text or "") if m.lastgroup != "card" or luhn(m.group(0))]
+        want = one.sub(lambda m: model_surrogate(m.lastgroup, m.group(0), "k"), row.text) if row.text else row.text
+        assert got[row.doc_id] == (want, len(found)), row.doc_id
+        total += len(found)
+    assert total > 10
 
 
 def test_pii_surrogates_stay_distinct(spark):
-    names = spark.createDataFrame([(i, f"John Smith{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(600)], "doc_id bigint, text string")
-    out = [r.text for r in pii.replace_pii(names).collect()]
+    rows = [f"John Smith{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    out = replaced(spark, rows)
     assert len(set(out)) == 600 and all(x.split()[0] in pii.MALE["latin"].split() for x in out)
-    assert pii.replace_pii(names, inline=0).select("text").distinct().count() == 600
+    assert replaced(spark, rows, inline=0) == out
 
 
 def test_pii_long_runs_and_empty(spark, odd, empty):
-    assert pii.replace_pii(empty).count() == 0
-    kept = {str(r.text) for r in pii.replace_pii(odd).collect()}
+    assert pii.replace_pii(empty, "k").count() == 0
+    kept = {str(r.text) for r in pii.replace_pii(odd, "k").collect()}
     assert kept == {str(r.text) for r in odd.collect()}
-    long = spark.createDataFrame([(1, "a" * 300_000), (2, "1" * 300_000), (3, "a.b@" * 50_000)], "doc_id bigint, text string")
-    assert pii.replace_pii(long).count() == 3
+    long = spark.createDataFrame([(1, "a" * 300_000), (2, "1" * 300_000), (3, "a.b@" * 50_000), (4, "A" * 300_000), (5, "Mary " * 50_000)], "doc_id bigint, text string")
+    assert pii.replace_pii(long, "k").count() == 5
+
+
+def test_pii_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "bob.1@mail.org", 7, "x")], "doc_id bigint, text string, n int, `found` string")
+    out = pii.replace_pii(df, "k", count="n")
+    assert out.columns == ["doc_id", "text", "n", "found", "n_"] and tuple(out.first()[2:]) == (7, "x", 1)
 
 
 # --- main text
@@ -448,6 +559,24 @@ def test_html_silent_elements_end(before):
         assert said[-1] == "The article." and not {"A", "T"} & set(said), page
 
 
+@pytest.mark.parametrize(
+    "between",
+    [
+        "<select><option>a<option>b</select>", "<svg/>", "<p data=don't>x</p>", "<audio controls>", "<video src=a><source src=b>", "<!--->", "<!-->", "<!-- a --!>", "<p title=\"a>b\" data-x='c>d'>x</p>",
+        "<p data = \"it's\">x</p>", "<script src='x'/>", "<style/>", "<iframe src=x>", "<textarea>", "<a href=x'y\"z>x</a>", "<audio><p>no sound</p></audio>", "<script>if (a < b) '<p>' </script >",
+    ],
+)
+def test_html_insertions_lose_nothing(between):
+    page = f"<html><body><article><p>The first paragraph.</p>{between}<p>The second one.</p></article></body></html>"
+    said = [t for _, t in html.parse(page).blocks]
+    assert said in (["The first paragraph.", "The second one."], ["The first paragraph.", "x", "The second one."])
+
+
+def test_html_formulas_stay():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> is <math/> here.</p><p>Next.</p></article>"
+    assert [t for _, t in html.parse(page).blocks] == ["The sum a+b is here.", "Next."]
+
+
 def test_html_head_without_end():
     assert [t for _, t in html.parse("<head><title>T</title><style>x</style>\n<p>one</p>two").blocks] == ["one", "two"]
     assert [t for _, t in html.parse("<head><link a=b>text<p>one").blocks] == ["text", "one"]
@@ -502,6 +631,12 @@ def test_html_odd_pages(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_clashing_column(spark):
+    df = spark.createDataFrame([(1, "kept", "<p>The article.</p>")], "page_id bigint, main_text string, html string")
+    out = html.extract_pages(df)
+    assert out.columns[-1] == "main_text_" and out.first().main_text == "kept" and out.first().main_text_ == "The article."
+
+
 # --- decontamination
 
 
@@ -524,5 +659,30 @@ def test_decontamination_odd_rows(spark, odd, empty):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red one two blue three"), (2, "red a b c d e blue"), (3, "blue red"), (4, "red red")], "doc_id bigint, text string")
     phrases = decontamination.Phrases([("q", "blue red")])
-    found = decontamination.proximity(decontamination.build_index(docs, phrases), phrases, 4)
+    index = decontamination.build_index(docs)
+    found = decontamination.proximity(index, phrases, 4)
     assert sorted((r.doc_id, r.position) for r in found.collect()) == [(1, 0), (3, 0)]
+    # the same index serves another benchmark
+    others = decontamination.search(index, decontamination.Phrases([("w", "one two")])).collect()
+    assert sorted((r.doc_id, r.hit_starts, r.hit_ends) for r in others if r.hit_starts) == [(1, [1], [3])]
+
+
+@pytest.mark.parametrize("block_bytes", [12, 1 << 20])
+def test_decontamination_rows_of_one_id(spark, block_bytes):
+    rows = [(1, "red green blue"), (1, "one two three"), (None, "red green blue"), (None, "one two three"), (1, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "red green"), (2, "green blue"), (3, "white")], "item_id bigint, text string")
+    out = decontamination.summary(decontamination.decontaminate(docs, items, block_bytes=block_bytes)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in out) == [("1", 3, 0, 0), ("1", 3, 0, 0), ("1", 3, 3, 2), ("None", 3, 0, 0), ("None", 3, 3, 2)]
+
+
+def test_decontamination_long_text_in_pieces(spark, monkeypatch):
+    text = " ".join(f"w{i % 700}é" for i in range(3000)) + "\nthe end"
+    monkeypatch.setattr(decontamination, "PIECE_BYTES", 50)
+    segment = decontamination._Segment(0)
+    segment.add(1, text.encode())
+    segment.add(2, b"")
+    words = decontamination.words_of(text.encode())
+    assert segment.lengths == [len(words), 0] and list(segment.lexicon) == list(dict.fromkeys(words))
+    postings = decontamination._Postings(segment.batch(), 0, decontamination.Phrases([("a", "w5é w6é"), ("b", "the end"), ("c", "none")]))
+    assert postings.of(0).tolist() == [i for i, w in enumerate(words) if w == words[5]] and postings.of(3).tolist() == [len(words) - 1]
