@@ -49,3 +49,12 @@ def test_null_ids_and_repeats(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table(spark, sf, "documents").limit(0), sf).count() == 0
 
+
+
+def test_rows_of_one_id_and_of_none(spark, sf):
+    text, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "vw")
+    rows = [(1, text), (1, other), (2, other + " x"), (None, text + " y"), (None, "alone here"), (None, "alone here"), (3, "alone here now that we are"), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"), F.lit(2).alias("key"))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("1", text), ("1", other), ("None", "alone here"), ("3", "alone here now that we are"), ("5", ""), ("5", "")])
