@@ -1,53 +1,54 @@
 """WARC archives as chunked record tables.
 
-An archive is a table of (archive, record_id, chunk, data): the chunks of a record, in order, are
-the literal bytes of a WARC/1.1 record, and the records of an archive, in order, are a WARC file.
-Chunk 0 is the header; payload chunks have a bounded size, so neither writer nor reader builds a
-record as a whole.  Both carry a running SHA-1 from chunk to chunk.
+An archive is a table of (archive, number, record_id, chunk, digest, data): the chunks of a record,
+in order, are the literal bytes of a WARC/1.1 record, and the records of an archive, in order of
+their numbers, are a WARC file.  Chunk 0 is the header, the last one the record's end; payload
+chunks have a bounded size and carry the SHA-1 of the payload up to their end, so neither writer
+nor reader holds a record as a whole: payloads are cut before they leave the table that holds
+them, digested chunk by chunk and written as rows, and types are decided on one small row a record.
 
 Records with equal payloads of a least size are written once: the one with the smallest page_id
-is a response, the others are revisits that refer to it and carry no payload.
+is a response, the others are revisits that refer to it by its record identifier and carry no
+payload.
 
-Defined results: a null payload is the empty one; a null url is written as an empty target; rows
-with a null page_id get record identifiers from their payload digest and are never the response
-of another row unless all their copies lack ids; repeated page_ids each give a record; an empty
-table gives an empty archive; other columns are ignored.
+Defined results: a null payload is the empty one; a null url is written as an empty target; of
+rows that share the smallest page_id one is the response; rows with a null page_id are never the
+response of another row, so copies that all lack ids are all responses; repeated page_ids each give
+a record; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import materialize, table
+from placeloom.llm.common import discard, materialize, table
 
 CHUNK_BYTES = 1 << 20
 #: Payloads of at least so many bytes are written once.
 REVISIT_BYTES = 0
-#: Fixed value: the date of records that state none.
+#: Keys of records or payloads that are broadcast; more are joined by an exchange.
+KEYS_BOUND = 300_000
+#: Parts of which rows of one payload are spread where they are joined by an exchange.
+SPREAD = 32
+#: The date of records that state none, the profile of revisits, the end of records.
 DATE = "2024-01-01T00:00:00Z"
-CHUNK_SCHEMA = "archive int, record_id string, page_id bigint, chunk int, data binary"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+END = b"\r\n\r\n"
+_PAYLOAD = "archive int, number bigint, page_id bigint, url string, chunk int, last boolean, size bigint, digest string, second bigint, data binary"
+CHUNK_SCHEMA = "archive int, number bigint, record_id string, chunk int, digest string, data binary"
 RECORD_SCHEMA = "page_id bigint, record_id string, record_type string, target string, refers_to bigint, payload_bytes bigint, payload_digest string, intact boolean"
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32(hexadecimal: Column) -> Column:
-    """Upper-case base32 of a 40-digit hexadecimal digest: 20 bits at a time."""
-    group = lambda i: F.conv(F.substring(hexadecimal, 5 * i + 1, 5), 16, 10).cast("int")
-    letter = lambda n, shift: F.substring(F.lit(_BASE32), F.shiftright(n, shift).bitwiseAND(31) + 1, F.lit(1))
-    return F.concat(*[letter(group(i), s) for i in range(8) for s in (15, 10, 5, 0)])
-
-
-def header(fields: Iterable[tuple[str, str]]) -> bytes:
-    """The header block of a record."""
-    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields), "", ""]
-    return "\r\n".join(lines).encode()
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def parse_header(block: bytes) -> dict[str, str]:
@@ -58,111 +59,133 @@ def parse_header(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
-def _pieces(payload: memoryview, size: int) -> Iterator[memoryview]:
-    for start in range(0, len(payload), size):
-        yield payload[start : start + size]
+def record_id(page_id: Column, archive: Column, number: Column) -> Column:
+    """The identifier of a record, from which its page_id can be read back."""
+    return F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), archive.cast("string"), F.lit(":"), number.cast("string"))
 
 
-def assign_types(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null for responses)."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    plain = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    known = plain.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    # a collision of SHA-1 is told apart by a second digest
-    known = known.withColumn("second", F.xxhash64("html"))
-    firsts = (
-        known.where(F.col("size") >= least)
-        .groupBy("digest", "second", "size")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1 AND first IS NOT NULL")
-    )
-    joined = known.join(firsts.drop("n"), ["digest", "second", "size"], "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
+def page_of(identifier: str) -> int | None:
+    """The page_id in a record identifier of ours."""
+    parts = identifier.strip("<>").split(":")
+    return int(parts[2]) if parts[:2] == ["urn", "page"] and len(parts) == 5 and parts[2] else None
 
 
-def write_chunks(typed: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table of ``assign_types``'s rows; each task writes one archive."""
+def payload_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Payloads as rows of bounded size, numbered by record and chunk, with running digests (see ``_PAYLOAD``); to be written."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    plain = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    n = F.greatest(F.ceil(F.octet_length("html") / chunk_bytes), F.lit(1)).cast("int")
+    each = plain.select("page_id", "url", "html", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("chunk"))
+    data = F.substring(F.col("html"), (F.col("chunk") - 1) * chunk_bytes + 1, F.lit(chunk_bytes))
+    cut = each.select("page_id", "url", "chunk", (F.col("chunk") == F.col("n")).alias("last"), data.alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         archive = TaskContext.get().partitionId()
-        number = 0
+        number, size = 0, 0
+        sha, second = hashlib.sha1(), xxhash.xxh3_64()
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            bodies = col["html"].cast(pa.binary())
-            out = _Rows(archive)
-            for i in range(batch.num_rows):
-                page_id, url, digest = col["page_id"][i].as_py(), col["url"][i].as_py() or "", col["digest"][i].as_py()
-                refers, size = col["refers_to"][i].as_py(), col["size"][i].as_py()
-                number += 1
-                record_id = f"urn:record:{archive}:{number}:{'' if page_id is None else page_id}"
-                bare = base64.b32encode(bytes.fromhex(digest)).decode()
-                fields = [
-                    ("WARC-Type", "response" if refers is None else "revisit"),
-                    ("WARC-Record-ID", f"<{record_id}>"),
-                    ("WARC-Date", DATE),
-                    ("WARC-Target-URI", " ".join(url.split())),
-                    ("WARC-Payload-Digest", f"sha1:{bare}"),
-                    ("Content-Type", "text/html; charset=utf-8"),
-                    ("Content-Length", str(size if refers is None else 0)),
-                ]
-                if refers is not None:
-                    fields += [
-                        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                        ("WARC-Refers-To", f"<urn:page:{refers}>"),
-                        ("WARC-Refers-To-Payload-Length", str(size)),
-                    ]
-                out.add(record_id, page_id, 0, header(fields))
-                chunk = 0
-                if refers is None:
-                    body = bodies[i].as_buffer()
-                    for piece in _pieces(memoryview(body), chunk_bytes):
-                        chunk += 1
-                        out.add(record_id, page_id, chunk, bytes(piece))
-                        if out.size >= 8 * chunk_bytes:
-                            yield out.batch()
-                            out = _Rows(archive)
-                out.add(record_id, page_id, chunk + 1, b"\r\n\r\n")
-            if out.rows:
-                yield out.batch()
-
-    return typed.mapInArrow(run, CHUNK_SCHEMA)
-
-
-class _Rows:
-    """Chunk rows gathered for one batch of bounded size."""
-
-    def __init__(self, archive: int) -> None:
-        self.archive = archive
-        self.rows: list[tuple] = []
-        self.size = 0
-
-    def add(self, record_id: str, page_id: int | None, chunk: int, data: bytes) -> None:
-        self.rows.append((self.archive, record_id, page_id, chunk, data))
-        self.size += len(data)
-
-    def batch(self) -> pa.RecordBatch:
-        types = (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary())
-        names = ("archive", "record_id", "page_id", "chunk", "data")
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), types)], names=names)
+            numbers, sizes, digests, seconds = [], [], [], []
+            for i, first in enumerate(c == 1 for c in batch.column(2).to_pylist()):
+                if first:
+                    number, size = number + 1, 0
+                    sha, second = hashlib.sha1(), xxhash.xxh3_64()
+                data = memoryview(batch.column(4)[i].as_buffer())
+                sha.update(data)
+                second.update(data)
+                size += len(data)
+                numbers.append(number)
+                sizes.append(size)
+                digests.append(base64.b32encode(sha.digest()).decode())
+                seconds.append(second.intdigest() - (1 << 63))
+            page_id, url, chunk, last, body = batch.columns
+            columns = [pa.array([archive] * len(numbers), pa.int32()), pa.array(numbers, pa.int64()), page_id, url, chunk, last, pa.array(sizes, pa.int64()), pa.array(digests), pa.array(seconds, pa.int64()), body]
+            yield pa.RecordBatch.from_arrays(columns, names=_names(_PAYLOAD))
+
+    return cut.mapInArrow(run, _PAYLOAD)
+
+
+def assign_types(payloads: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
+    """One row a record of the written table ``payload_chunks``: its last chunk's columns without data, and the response it refers to (null: it is one)."""
+    known = payloads.where("last").drop("data", "last")
+    # a collision of SHA-1 is told apart by a second digest
+    key = ["digest", "second", "size"]
+    firsts = (
+        known.where((F.col("size") >= least) & F.col("page_id").isNotNull())
+        .groupBy(*key)
+        .agg(F.min(F.struct("page_id", "archive", "number")).alias("first"))
+    )
+    copies = known.where(F.col("size") >= least).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = materialize(firsts.join(copies, key), "firsts")
+    if firsts.count() <= KEYS_BOUND:
+        joined = known.join(F.broadcast(firsts), key, "left")
+    else:
+        # rows of one payload may be a third of all
+        part = F.pmod(F.xxhash64("archive", "number"), F.lit(SPREAD)).cast("int")
+        spread = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        joined = known.withColumn("part", part).join(spread, [*key, "part"], "left").drop("part")
+    own = (F.col("archive") == F.col("first.archive")) & (F.col("number") == F.col("first.number"))
+    return joined.withColumn("first", F.when(~own, F.col("first")))
+
+
+def _headers(typed: DataFrame) -> DataFrame:
+    """Header and end rows of the records."""
+    own = record_id(F.col("page_id"), F.col("archive"), F.col("number"))
+    refers = record_id(F.col("first.page_id"), F.col("first.archive"), F.col("first.number"))
+    again = F.col("first").isNotNull()
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    target = F.trim(F.regexp_replace(F.coalesce("url", F.lit("")), r"[\s\p{Z}\p{Cc}]+", " "))
+    fields = [
+        F.lit("WARC/1.1"),
+        line("WARC-Type", F.when(again, "revisit").otherwise("response")),
+        line("WARC-Record-ID", F.concat(F.lit("<"), own, F.lit(">"))),
+        line("WARC-Date", F.lit(DATE)),
+        line("WARC-Target-URI", target),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        line("Content-Type", F.lit("text/html; charset=utf-8")),
+        line("Content-Length", F.when(again, 0).otherwise(F.col("size")).cast("string")),
+        F.when(again, line("WARC-Profile", F.lit(PROFILE))),
+        F.when(again, line("WARC-Refers-To", F.concat(F.lit("<"), refers, F.lit(">")))),
+        F.when(again, line("WARC-Refers-To-Payload-Length", F.col("size").cast("string"))),
+    ]
+    head = F.encode(F.concat(F.concat_ws("\r\n", *fields), F.lit("\r\n\r\n")), "UTF-8")
+    ends = F.array(
+        F.struct(F.lit(0).alias("chunk"), head.alias("data")),
+        F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(END).alias("data")),
+    )
+    rows = typed.select("archive", "number", own.alias("record_id"), F.explode(ends).alias("r"))
+    return rows.select("archive", "number", "record_id", "r.chunk", F.lit(None).cast("string").alias("digest"), "r.data")
+
+
+def write_archives(pages: DataFrame, least: int = REVISIT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The written chunked record table of ``pages`` (page_id, url, html); each task that reads pages numbers an archive."""
+    payloads = materialize(payload_chunks(pages, chunk_bytes), "payloads")
+    typed = materialize(assign_types(payloads, least), "types")
+    revisits = materialize(typed.where("first IS NOT NULL").select("archive", "number"), "revisits")
+    few = revisits.count() <= KEYS_BOUND
+    body = payloads.where(F.octet_length("data") > 0).join(F.broadcast(revisits) if few else revisits, ["archive", "number"], "left_anti")
+    body = body.select("archive", "number", record_id(F.col("page_id"), F.col("archive"), F.col("number")).alias("record_id"), "chunk", "digest", "data")
+    written = materialize(_headers(typed).unionByName(body), "warc")
+    discard(payloads, typed, revisits)
+    return written
 
 
 class _Reader:
     """One record at a time: header fields, then a running digest over its chunks."""
 
-    def __init__(self, record_id: str, page_id: int | None):
-        self.record_id, self.page_id = record_id, page_id
+    def __init__(self, key: tuple[int, int]):
+        self.key = key
         self.head = b""
         self.fields: dict[str, str] | None = None
         self.left = 0
         self.digest = hashlib.sha1()
+        self.agrees = True
 
-    def feed(self, data: bytes) -> None:
+    def feed(self, data: bytes, stated: str | None) -> None:
         if self.fields is None:
             self.head += data
-            end = self.head.find(b"\r\n\r\n")
+            end = self.head.find(END)
             if end < 0:
                 return
             self.fields, data = parse_header(self.head[:end]), self.head[end + 4 :]
@@ -171,40 +194,43 @@ class _Reader:
         body = data[: self.left] if self.left < len(data) else data
         self.left -= len(body)
         self.digest.update(body)
+        # a chunk that carries a digest is checked at once
+        if stated is not None and stated != base64.b32encode(self.digest.digest()).decode():
+            self.agrees = False
 
     def row(self) -> tuple:
         f = self.fields or {}
         kind = f.get("warc-type", "")
+        own = f.get("warc-record-id", "").strip("<>")
         stated = f.get("warc-payload-digest", "").removeprefix("sha1:")
         got = base64.b32encode(self.digest.digest()).decode()
         if kind == "revisit":
-            refers = f.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
+            refers = page_of(f.get("warc-refers-to", ""))
             size, digest, intact = int(f.get("warc-refers-to-payload-length", 0)), stated, self.left == 0
-            return (self.page_id, self.record_id, kind, f.get("warc-target-uri"), int(refers) if refers else None, size, digest, intact)
+            return (page_of(own), own, kind, f.get("warc-target-uri"), refers, size, digest, intact)
         size = int(f.get("content-length", 0))
-        return (self.page_id, self.record_id, kind, f.get("warc-target-uri"), None, size, got, self.left == 0 and got == stated)
+        return (page_of(own), own, kind, f.get("warc-target-uri"), None, size, got, self.left == 0 and self.agrees and got == stated)
 
 
 def read_chunks(chunks: DataFrame) -> DataFrame:
     """Records of a chunked record table (see ``RECORD_SCHEMA``), chunk after chunk."""
-    ordered = chunks.select("record_id", "page_id", "chunk", "data").repartition("record_id").sortWithinPartitions("record_id", "chunk")
+    ordered = chunks.select("archive", "number", "chunk", "digest", "data").repartition("archive", "number").sortWithinPartitions("archive", "number", "chunk")
     types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_names(RECORD_SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader: _Reader | None = None
         rows: list[tuple] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                record_id = batch.column(0)[i].as_py()
-                if reader is None or reader.record_id != record_id:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for i, key in enumerate(keys):
+                if reader is None or reader.key != key:
                     if reader is not None:
                         rows.append(reader.row())
-                    reader = _Reader(record_id, batch.column(1)[i].as_py())
-                reader.feed(batch.column(3)[i].as_py())
+                    reader = _Reader(key)
+                reader.feed(batch.column(4)[i].as_py(), batch.column(3)[i].as_py())
             if len(rows) >= 1000:
                 yield made(rows)
                 rows = []
@@ -218,15 +244,13 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
 
 def export(chunks: DataFrame, archive: int, out: BinaryIO) -> None:
     """Stream one archive of a chunked record table into a WARC file, chunk by chunk."""
-    # chunks of one archive in the order they were written
-    number = F.element_at(F.split("record_id", ":"), 4).cast("int")
-    own = chunks.where(F.col("archive") == archive).orderBy(number, "chunk").select("data")
+    own = chunks.where(F.col("archive") == archive).orderBy("number", "chunk").select("data")
     for row in own.toLocalIterator():
         out.write(row[0])
 
 
 def chunks_of(stream: BinaryIO, archive: int = 0, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
-    """Chunk rows of a WARC file, read in bounded pieces."""
+    """Chunk rows of a WARC file, read in bounded pieces, with running digests."""
     number = 0
     while first := stream.readline():
         if first in (b"\r\n", b"\n"):
@@ -236,22 +260,24 @@ def chunks_of(stream: BinaryIO, archive: int = 0, chunk_bytes: int = CHUNK_BYTES
             block += line
         fields = parse_header(block.rstrip(b"\r\n"))
         number += 1
-        record_id = fields.get("warc-record-id", "").strip("<>") or f"urn:record:{archive}:{number}:"
-        yield (archive, record_id, None, 0, block + b"\r\n")
+        own = fields.get("warc-record-id", "").strip("<>")
+        yield (archive, number, own, 0, None, block + b"\r\n")
         left, chunk = int(fields.get("content-length", 0)), 0
+        sha = hashlib.sha1()
         while left:
             piece = stream.read(min(left, chunk_bytes))
             if not piece:
                 raise ValueError("a record ends early")
             left -= len(piece)
             chunk += 1
-            yield (archive, record_id, None, chunk, piece)
-        yield (archive, record_id, None, chunk + 1, b"\r\n\r\n")
+            sha.update(piece)
+            yield (archive, number, own, chunk, base64.b32encode(sha.digest()).decode(), piece)
+        yield (archive, number, own, chunk + 1, None, END)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
-    archives = materialize(write_chunks(assign_types(table(spark, sf_dir, "pages"))), "warc")
+    archives = write_archives(table(spark, sf_dir, "pages"))
     return read_chunks(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
