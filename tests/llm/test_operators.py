@@ -163,7 +163,9 @@ def test_language_id_held_out(spark, sf):
 
 
 def test_language_forward_sums_all_segmentations():
-    model = langid.train({"aa": Counter({"ab": 3, "ba": 1}), "bb": Counter({"b": 2})}, {"aa": 2, "bb": 1}, ["_a", "a", "ab", "_ab", "b"])
+    model = langid.start({"aa": 2, "bb": 1}, ["_a", "a", "ab", "_ab", "b"])
+    for _ in range(4):
+        model = langid.renewed(model, model.expected(["b", "ab", "ba"], np.array([[0, 2], [3, 0], [1, 0.0]])))
     p = {**{piece: model.probability[i] for piece, i in model.index.items()}, "_": np.ones(2)}
     word = "_ab"
     total = np.zeros(2)
@@ -175,6 +177,36 @@ def test_language_forward_sums_all_segmentations():
     assert np.allclose(model.probability[:-1].sum(axis=0), 1)
 
 
+def test_language_long_words_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcd"), n)) for n in (3, 7, 7, 12, 40)]
+    model = langid.start({"x": 1, "y": 3}, ["_a", "a", "ab", "_ab", "b", "abc", "cd", "dab"])
+    model.probability[:-1] = rng.dirichlet(np.ones(len(model.probability) - 1), 2).T
+    counts = rng.integers(0, 5, (5, 2)).astype(float)
+    whole, uses = np.concatenate([v for _, v in model.likelihoods(words)]), model.expected(words, counts)
+    monkeypatch.setattr(langid, "WORD_LETTERS", 5)
+    monkeypatch.setattr(langid, "CHUNK_BYTES", 200)
+    assert np.allclose(np.concatenate([v for _, v in model.likelihoods(words)]), whole) and np.allclose(model.expected(words, counts), uses)
+    assert list(langid._chunks(words, 2))[-1][1] == 5
+    # a word beyond the range of floats is one word still
+    assert langid.words_of("A" * 5000) == ["a" * 5000] and np.isfinite(next(model.likelihoods(["a" * 5000]))[1]).all()
+
+
+def test_language_learns_every_language_and_word(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * (1 + i // 300) + "q" * 90, f"l{i % 600}", None, None) for i in range(2400)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA), pieces=["_w", "a", "b"])
+    assert len(model.languages) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}) > 500
+    assert np.allclose(model.probability[:-1].sum(axis=0), 1)
+
+
+def test_clashing_columns_of_scores(spark):
+    docs = spark.createDataFrame([(1, "some text", 7, "x", "y")], "doc_id bigint, text string, score int, lang_pred string, pairs string")
+    found = langid.identify(docs, langid.start({}, []))
+    assert found.columns[-2:] == ["lang_pred_", "score_"] and found.first().score == 7
+    scored = toxicity.score(docs, toxicity.train([], np.empty(0)))
+    assert scored.columns[-1] == "score_" and scored.first().score == 7
+
+
 def test_language_odd_rows(spark, odd, empty):
     docs = spark.createDataFrame([(i, ("alpha beta" if i % 2 else "gamma delta"), ("l1" if i % 2 else "l2"), None, None) for i in range(80)], SCHEMA)
     model = langid.fit(docs)
@@ -191,7 +223,7 @@ def test_language_odd_rows(spark, odd, empty):
 def test_warc_round_trip(spark):
     big = "é" * 50_000
     pages = spark.createDataFrame([(3, "u", big), (1, None, big), (2, "v", None), (5, "v", ""), (7, "w\r\n", "a\r\n\r\nWARC/1.1"), (None, "z", big), (9, "q", "single")], "page_id bigint, url string, html string")
-    chunks = warc.write_chunks(warc.assign_types(pages), 1000).cache()
+    chunks = warc.write_archives(pages, chunk_bytes=1000)
     assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= 1000
     rows = {r.page_id: r for r in warc.read_chunks(chunks).collect()}
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
@@ -199,18 +231,39 @@ def test_warc_round_trip(spark):
         3: ("revisit", 1), 1: ("response", None), 2: ("response", None), 5: ("revisit", 2), 7: ("response", None), None: ("revisit", 1), 9: ("response", None)
     }
     assert (rows[3].payload_bytes, rows[3].payload_digest) == (100_000, digest(big)) and all(r.intact for r in rows.values())
+    # every payload chunk carries the digest of the payload so far
+    body = chunks.where((F.col("record_id") == rows[1].record_id) & F.col("digest").isNotNull()).orderBy("chunk").collect()
+    assert [r.digest for r in body] == [base64.b32encode(hashlib.sha1(big.encode()[: 1000 * (i + 1)]).digest()).decode() for i in range(100)]
     archive = io.BytesIO()
     for a in sorted(r.archive for r in chunks.select("archive").distinct().collect()):
         warc.export(chunks, a, archive)
     archive.seek(0)
     again = spark.createDataFrame(list(warc.chunks_of(archive, 0, 777)), warc.CHUNK_SCHEMA)
-    back = {(r.record_id, r.payload_digest, r.payload_bytes) for r in warc.read_chunks(again).collect()}
-    assert back == {(r.record_id, r.payload_digest, r.payload_bytes) for r in rows.values()}
-    assert warc.read_chunks(warc.write_chunks(warc.assign_types(pages.limit(0)))).count() == 0
-    kept = warc.assign_types(pages, least=10).where("refers_to IS NOT NULL").count()
+    assert {tuple(r) for r in warc.read_chunks(again).collect()} == {tuple(r) for r in rows.values()}
+    # every revisit of the file resolves to a response with its digest
+    fields = [warc.parse_header(bytes(r.data).rstrip()) for r in again.where("chunk = 0").collect()]
+    by_id = {f["warc-record-id"]: f for f in fields}
+    for f in fields:
+        if f["warc-type"] == "revisit":
+            there = by_id[f["warc-refers-to"]]
+            assert there["warc-type"] == "response" and there["warc-payload-digest"] == f["warc-payload-digest"]
+    broken = chunks.withColumn("data", F.when(F.col("record_id").startswith("urn:page:7:") & F.col("digest").isNotNull(), F.lit(b"x" * 14)).otherwise(F.col("data")))
+    assert {r.page_id for r in warc.read_chunks(broken).collect() if not r.intact} == {7}
+    assert warc.read_chunks(warc.write_archives(pages.limit(0))).count() == 0
+    kept = warc.read_chunks(warc.write_archives(pages, least=10)).where("refers_to IS NOT NULL").count()
     assert kept == 2
 
 
+def test_warc_repeated_and_missing_ids(spark, monkeypatch):
+    rows = [(1, "u", "a"), (1, "u", "a"), (None, "v", "b"), (None, "v", "b"), (2, "w", "a")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("data", F.lit(1)).withColumn("digest", F.lit(2))
+    want = sorted([("1", "response", "None"), ("1", "revisit", "1"), ("2", "revisit", "1"), ("None", "response", "None"), ("None", "response", "None")])
+    for bound in (warc.KEYS_BOUND, 0):
+        monkeypatch.setattr(warc, "KEYS_BOUND", bound)
+        found = warc.read_chunks(warc.write_archives(pages)).collect()
+        assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in found) == want
+
+
 # --- n-gram Jaccard
 
 
@@ -295,6 +348,47 @@ def test_lm_counts_and_base(spark, sf):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+@pytest.mark.parametrize("top", [lm.TOP_WORDS, 300])
+def test_lm_scores_against_a_plain_model(spark, sf, monkeypatch, top):
+    """The formula over exact counts, quantised as the filter does; what differs are its false positives."""
+    monkeypatch.setattr(lm, "TOP_WORDS", top)
+    monkeypatch.setattr(lm, "CONTEXT_WORDS", 200)
+    docs = texts(spark, sf)
+    words, pairs = Counter(), Counter()
+    for doc_id, t in docs.items():
+        if zlib.crc32(str(doc_id).encode()) % 7 != 2:
+            own = lm.tokens_of(t.encode())
+            words.update(own)
+            pairs.update(zip(own, own[1:]))
+    types, total = Counter(a for a, _ in pairs), sum(words.values())
+    rank = {w: i for i, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0])))}
+    ones, twos = (sum(c == n for c in words.values()) for n in (1, 2))
+    discount = ones / (ones + 2 * twos)
+    level = lambda n: lm.level_of(np.array([n])) if n else np.array([0])
+    least, most = (lambda n: lm.count_of(level(n))[0]), (lambda n: lm.most_of(level(n))[0] if n else 0.0)
+    kept = lambda w, of: words[w] if rank.get(w, 1 << 30) < top else of(words[w])
+
+    def unigram(w):
+        c = kept(w, least)
+        return max(c - discount, 0.1) / total if c else max(discount * len(words) / total, 1 / (total + 1))
+
+    def score(text):
+        own, out = lm.tokens_of(text.encode()), 0.0
+        for i, w in enumerate(own):
+            p = unigram(w)
+            if i and words[own[i - 1]]:
+                before = own[i - 1]
+                n = kept(before, most)
+                t = max(types[before], 1) if rank[before] < 200 else max(least(types[before]), 1.0)
+                p = (min(least(pairs[before, w]), n) + t * p) / (n + t)
+            out += np.log10(p)
+        return out
+
+    rows = lm.op7_lm_scoring(spark, sf).collect()
+    apart = [abs(r.score / score(docs[r.doc_id]) - 1) for r in rows]
+    assert np.median(apart) < 0.01 and np.quantile(apart, 0.95) < 0.05, (np.median(apart), sorted(apart)[-9:])
+
+
 def test_lm_filter_and_probabilities(spark, monkeypatch):
     monkeypatch.setattr(lm, "TOP_WORDS", 3)
     monkeypatch.setattr(lm, "CONTEXT_WORDS", 3)
