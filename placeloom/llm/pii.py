@@ -144,19 +144,27 @@ def _given_names(key: str) -> dict[str, str]:
 
 def _unchecked(entity: Column) -> Column:
     """Whether an entity looks like a card number, but its check digit is wrong."""
-    return entity.rlike("^[0-9 -]{13,}$") & _let(F.regexp_replace(entity, "[^0-9]", ""), lambda d: _luhn_sum(d) % 10 != 0)
+    return entity.rlike(SHAPES["card"]) & _let(F.regexp_replace(entity, "[^0-9]", ""), lambda d: _luhn_sum(d) % 10 != 0)
+
+
+#: What tells the types of found entities apart; all others are secrets.
+SHAPES = {
+    "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
+    "iban": "^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,}$",
+    "card": "^[0-9 -]{13,}$",
+    "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
+    "phone": "^[0-9+(][0-9 ().-]+$",
+}
 
 
 def kind_of(entity: Column, again: Column | None = None) -> Column:
     """Type of a found entity, or none; ``again`` are words of names that may stand alone."""
-    only = lambda p: entity.rlike(rf"^(?:{p})$")
     out = F.when(F.array_contains(again, entity), "name") if again is not None else F
-    out = out.when(entity.contains("@") & only(_MAILBOX), "email")
+    out = out.when(entity.contains("@") & entity.rlike(f"^{_MAILBOX}$"), "email")
     # secrets have no space, all other types with one have digits
-    out = out.when(entity.contains(" ") & ~entity.rlike("[0-9]"), "name")
-    out = out.when(_unchecked(entity), "none")
-    for kind in ("ip", "iban", "card", "ssn", "phone"):
-        out = out.when(only(PATTERNS[kind]), kind)
+    out = out.when(entity.contains(" ") & ~entity.rlike("[0-9]"), "name").when(_unchecked(entity), "none")
+    for kind, shape in SHAPES.items():
+        out = out.when(entity.rlike(shape), kind)
     return out.otherwise("secret")
 
 
@@ -361,20 +369,24 @@ def entities(docs: DataFrame) -> DataFrame:
 def dictionary(docs: DataFrame, key: str) -> DataFrame:
     """(kind, plain, attempt) of every distinct entity, with attempts that make the surrogates differ."""
     known = materialize(entities(docs).withColumn("attempt", F.lit(0)), "entities")
-    kind, plain = F.col("kind"), F.col("plain")
+    kind, plain, attempt = F.col("kind"), F.col("plain"), F.col("attempt")
+    own = F.when(kind == "word", word_surrogate(plain, attempt, key)).otherwise(canonical(kind, surrogate(kind, plain, attempt, key)))
+    settled: DataFrame | None = None
+    fresh = known
     # surrogates grow with the attempts, so this ends
     while True:
-        own = F.when(kind == "word", word_surrogate(plain, F.col("attempt"), key)).otherwise(canonical(kind, surrogate(kind, plain, F.col("attempt"), key)))
-        drawn = known.withColumn("drawn", own)
+        drawn = materialize(fresh.select("kind", "plain", "attempt", own.alias("drawn")), "drawn")
+        drawn = drawn if settled is None else drawn.unionByName(settled)
         # of those that drew one surrogate the smallest keeps it; one that is a real entity is given up
-        firsts = drawn.groupBy("kind", "drawn").agg(F.min("plain").alias("keeper"), F.count("*").alias("n"))
-        real = known.select(F.col("kind"), F.col("plain").alias("drawn"), F.lit(True).alias("taken"))
-        judged = drawn.join(firsts, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
-        again = ((F.col("n") > 1) & (plain != F.col("keeper"))) | F.coalesce(F.col("taken"), F.lit(False))
-        judged = materialize(judged.select("kind", "plain", "attempt", again.alias("again")), "drawn")
-        if not judged.where("again").limit(1).count():
-            return known
-        known = judged.select("kind", "plain", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        firsts = drawn.groupBy("kind", "drawn").agg(F.min("plain").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+        real = known.select("kind", F.col("plain").alias("drawn"), F.lit(True).alias("taken"))
+        judged = drawn.join(firsts, ["kind", "drawn"], "left").join(real, ["kind", "drawn"], "left")
+        again = F.coalesce((F.col("n") > 1) & (plain != F.col("keeper")), F.lit(False)) | F.coalesce(F.col("taken"), F.lit(False))
+        judged = materialize(judged.select("kind", "plain", "attempt", "drawn", again.alias("again")), "judged")
+        settled = judged.where("NOT again").drop("again")
+        fresh = judged.where("again").select("kind", "plain", (attempt + 1).alias("attempt"))
+        if not fresh.limit(1).count():
+            return settled.drop("drawn")
 
 
 def _refitted(text: Column, pattern: Column, made: Column) -> Column:
