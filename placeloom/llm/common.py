@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +51,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go with the write, and Arrow batches are of bounded size.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,17 +67,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/placeloom/{name}-{uuid.uuid4().hex}"
-    try:
-        before = spark.conf.get(_CLEANUP)
-    except Exception:  # an older Spark doesn't know the setting
-        before = None
-    if before is not None:
-        spark.conf.set(_CLEANUP, "true")
+    before = {}
+    for setting, value in _SETTINGS.items():
+        try:
+            before[setting] = spark.conf.get(setting)
+        except Exception:  # an older Spark doesn't know the setting
+            continue
+        spark.conf.set(setting, value)
     try:
         df.write.parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -87,7 +96,25 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner free broadcasts and shuffles that no plan holds any more.
 
     The cleaner learns of them from the driver's garbage collections alone, which are rare where
-    the plans are small; until then the copies stay on the driver and on every executor.
+    the plans are small; until then the copies stay on the driver and on every executor.  What the
+    driver's native allocator holds free goes back to the system, where the JVM has a command for it.
     """
     gc.collect()
-    spark._jvm.System.gc()
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        server.invoke(commands, "systemTrimNativeHeap", new_array(jvm.Object, 0), new_array(jvm.String, 0))
+    except Py4JError:  # a JVM without it
+        pass
+
+
+def trim() -> None:
+    """Give the memory that a task of a Python worker has freed back to the system; workers are used again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

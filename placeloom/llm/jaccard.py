@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import discard, materialize, release, table
+from placeloom.llm.common import discard, materialize, release, table, trim
 from placeloom.llm.components import components
 
 WORDS = 5
@@ -41,13 +41,13 @@ GROUP_SIZE = 256
 #: Tokens of more groups than this go to the end of the token order.
 COMMON = 100
 #: Common tokens that are broadcast; those of fewer groups beyond it stay in plain order.
-COMMON_BOUND = 500_000
+COMMON_BOUND = 2_000_000
 #: Tokens that are broadcast to pick rows; beyond it the rows are joined by an exchange.
-TOKENS_BOUND = 300_000
+TOKENS_BOUND = 2_000_000
 #: Rounds in which common tokens are looked for.
 ORDER_ROUNDS = 2
 #: Document ids that are broadcast to pick texts; beyond it the texts are joined by an exchange.
-IDS_BOUND = 300_000
+IDS_BOUND = 1_000_000
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -126,6 +126,7 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keys
                     [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(mins), _lists(prefixes)],
                     names=["doc_id", "n", "d1", "d2", "keys", "prefix"],
                 )
+        trim()
 
     return _plain(docs).mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, prefix array<bigint>")
 
@@ -140,6 +141,7 @@ def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), _lists([shingles(t, words) for t in _texts(batch)])], names=["doc_id", "tokens"]
                 )
+        trim()
 
     return _plain(docs).mapInArrow(run, "doc_id bigint, tokens array<bigint>").where(F.size("tokens") > 0)
 
@@ -158,6 +160,7 @@ def _reordered(docs: DataFrame, common: np.ndarray, words: int, percent: int) ->
                     [batch.column(0), pa.array([len(t) for t in sets], pa.int64()), batch.column(2), batch.column(3), _lists([_prefix(t, last, percent) for t in sets])],
                     names=["doc_id", "n", "comp", "grp", "prefix"],
                 )
+        trim()
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, comp bigint, grp bigint, prefix array<bigint>")
 
