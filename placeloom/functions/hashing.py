@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+_HALF = (1 << 32) - 1
 
 
 def utf8_bytes(text: Column) -> Column:
@@ -23,19 +23,28 @@ def djb2_bucket(text: Column) -> Column:
     return h % 65534 + 1
 
 
-def fnv1a(data: bytes) -> int:
-    """FNV-1a, 64 bits."""
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv1a(data: Column) -> Column:
+    """FNV-1a of an array of bytes, 64 bits, as struct<hi, lo> of its 32-bit halves."""
+
+    def step(h: Column, b: Column) -> Column:
+        # the prime is 2^40 + 435
+        low = h["lo"].bitwiseXOR(b)
+        product = low * 435
+        high = h["hi"] * 435 + F.shiftright(product, 32) + low * 256
+        return F.struct(high.bitwiseAND(_HALF).alias("hi"), product.bitwiseAND(_HALF).alias("lo"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("bigint").alias("hi"), F.lit(0x84222325).cast("bigint").alias("lo"))
+    return F.aggregate(data, start, step)
+
+
+def low_bits(h: Column, bits: int) -> Column:
+    """The lowest ``bits`` (33 to 62) of a hash of two halves."""
+    return h["hi"].bitwiseAND((1 << (bits - 32)) - 1) * F.lit(1 << 32) + h["lo"]
 
 
-@F.pandas_udf(T.LongType())
-def place_id(kind: pd.Series, osm_id: pd.Series, place_type: pd.Series) -> pd.Series:
+def place_id(kind: Column, osm_id: Column, place_type: Column) -> Column:
     """Stable 53-bit id of (N, W or R, osm_id, type number); 0 only for osm_id 0."""
-    made = []
-    for k, i, t in zip(kind, osm_id, place_type):
-        h = fnv1a(k.encode() + int(i).to_bytes(8, "little", signed=True) + bytes([int(t) & 255])) & ((1 << 53) - 1)
-        made.append(0 if int(i) == 0 else h or 1)
-    return pd.Series(made, dtype="int64")
+    eight = F.array(*[F.shiftright(osm_id.cast("bigint"), 8 * i).bitwiseAND(255) for i in range(8)])
+    data = F.concat(utf8_bytes(kind), eight, F.array(F.pmod(place_type.cast("bigint"), F.lit(256))))
+    h = low_bits(fnv1a(data), 53)
+    return F.when(osm_id == 0, F.lit(0)).when(h == 0, F.lit(1)).otherwise(h).cast("bigint")

@@ -78,6 +78,38 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(n > 0, short).otherwise(F.array().cast("array<string>"))))
 
 
+def deletions_twice(word: Column) -> Column:
+    """A word and all its forms with one or two letters left out."""
+    return F.array_distinct(F.flatten(F.transform(deletions(word), deletions)))
+
+
+def title_case(text: Column) -> Column:
+    """Words with a capital and small letters behind it, one space apart."""
+    one = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    return F.array_join(F.transform(tokens(text), one), " ")
+
+
+def bilingual_parts(name: Column) -> Column:
+    """Parts of a name in lower case between " / ", " - " or "/", other than the whole."""
+    lower = F.lower(name)
+    pieces = F.flatten(F.array(*[F.when(F.instr(lower, F.lit(sep)) > 0, F.split(lower, sep)).otherwise(F.array().cast("array<string>")) for sep in (" / ", " - ", "/")]))
+    return F.array_distinct(F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: (p != "") & (p != lower)))
+
+
+def mistyped(name: Column, seed: Column) -> Column:
+    """A name with one typing error drawn from ``seed``: a letter left out, two neighbours swapped, or one replaced."""
+    n = F.length(name)
+    draw = lambda salt, below: F.pmod(F.xxhash64(seed, F.lit(salt)), below)
+    at = (draw("at", n) + 1).cast("int")
+    first = (draw("first", F.greatest(n - 1, F.lit(1))) + 1).cast("int")
+    upto = lambda i: F.substring(name, F.lit(1), i)
+    behind = lambda i: F.substring(name, i, n)
+    letter = F.char(97 + draw("letter", F.lit(26)))
+    swapped = F.concat(upto(first - 1), F.substring(name, first + 1, F.lit(1)), F.substring(name, first, F.lit(1)), behind(first + 2))
+    made = F.when(draw("how", F.lit(3)) == 0, F.concat(upto(at - 1), behind(at + 1))).when(draw("how", F.lit(3)) == 1, swapped).otherwise(F.concat(upto(at - 1), letter, behind(at + 1)))
+    return F.when(n <= 1, name).otherwise(made)
+
+
 def strip_marks(text: str) -> str:
     """Without combining marks, composed again."""
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.category(c).startswith("M")))

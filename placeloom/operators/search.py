@@ -72,47 +72,81 @@ def within_one_edit(queries: DataFrame, keys: DataFrame) -> DataFrame:
     return met.withColumn("distance", F.levenshtein("key", "hit", 1)).where(F.col("distance").between(0, 1))
 
 
+def within_two_edits(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, key, hit, distance): single words at most two edits away.
+
+    Two words within two edits share a form with up to two letters left out of each; keys whose
+    lengths differ by more meet nothing, as their forms have other lengths.
+    """
+    single = lambda df: df.where(~F.col("key").contains(" "))
+    forms = lambda df: df.withColumn("form", F.explode(text.deletions_twice(F.col("key"))))
+    left, right = forms(single(queries)), forms(single(keys.select("key").distinct())).withColumnRenamed("key", "hit")
+    met = left.join(right, "form").select("query_id", "key", "hit").distinct()
+    return met.withColumn("distance", F.levenshtein("key", "hit", 2)).where(F.col("distance").between(0, 2))
+
+
 def prefix(queries: DataFrame, places: DataFrame, limit: int = 10, letters: int = 3) -> DataFrame:
     """(query_id, record_id, name, importance, rank) of the best names that begin with a query.
 
-    The first ``letters`` of both sides are the join key; the rest is tested on the pairs.
+    Every name stands under its beginnings of the lengths that queries have, ``letters`` at least;
+    the best of each beginning are kept before the join, which is on the beginning itself.
     """
-    head = lambda c: F.substring(c, 1, letters)
-    named = places.withColumn("key", text.base(F.col("name"))).withColumn("head", head(F.col("key")))
-    asked = queries.withColumn("prefix", text.base(F.col("q"))).where(F.length("prefix") >= letters).withColumn("head", head(F.col("prefix")))
-    hits = asked.join(named, "head").where(F.col("key").startswith(F.col("prefix")))
-    order = W.partitionBy("query_id").orderBy(F.desc("importance"), "record_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "record_id", "name", "importance", "rank")
+    named = places.withColumn("key", text.base(F.col("name")))
+    asked = queries.withColumn("prefix", text.base(F.col("q"))).where(F.length("prefix") >= letters)
+    # as many rows as there are lengths of queries
+    lengths = asked.select(F.length("prefix").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("lengths")).first()[0]
+    wanted = F.array(*map(F.lit, lengths or [letters]))
+    begun = named.withColumn("n", F.explode(F.filter(wanted, lambda n: n <= F.length("key")))).withColumn("prefix", F.substring(F.col("key"), F.lit(1), F.col("n")))
+    best = begun.withColumn("rank", F.row_number().over(W.partitionBy("prefix").orderBy(F.desc("importance"), "record_id"))).where(F.col("rank") <= limit)
+    return asked.join(best.select("prefix", "record_id", "name", "importance", "rank"), "prefix").select("query_id", "record_id", "name", "importance", "rank")
 
 
-def cascade(queries: DataFrame, places: DataFrame, phonetic=None) -> DataFrame:
+def cascade(queries: DataFrame, places: DataFrame, phonetic=None, grams: DataFrame | None = None) -> DataFrame:
     """(query_id, record_id, layer, confidence, importance): hits of the first layer that has any.
 
-    Layers: exact, phonetic (if a key function is given), trigrams, one edit.  All layers run on
-    all queries and the first is kept per query by a partial aggregate, which spares a scan of the
-    postings for every layer.
+    Layers: exact, phonetic (if a key function is given), trigrams (of queries of at least two),
+    one edit, two edits of single words.  A layer is asked only what no layer before it has
+    found.  ``grams`` are trigram postings that were built before.
     """
     named = places.select("record_id", "importance", text.base(F.col("name")).alias("key"))
-    asked = queries.select("query_id", text.base(F.col("q")).alias("key"))
-    layers = [asked.join(named, "key").select("query_id", "record_id", F.lit(1).alias("layer_no"), F.lit("exact").alias("layer"))]
+    left = queries.select("query_id", text.base(F.col("q")).alias("key"))
+    by_key = named.withColumnRenamed("key", "hit")
+
+    def heard(asked: DataFrame) -> DataFrame:
+        return asked.withColumn("key", phonetic(F.col("key"))).join(named.withColumn("key", phonetic(F.col("key"))), "key")
+
+    layers = [("exact", lambda asked: asked.join(named, "key"))]
     if phonetic is not None:
-        sounds = named.withColumn("key", phonetic(F.col("key")))
-        heard = asked.withColumn("key", phonetic(F.col("key")))
-        layers.append(heard.join(sounds, "key").select("query_id", "record_id", F.lit(2).alias("layer_no"), F.lit("phonetic").alias("layer")))
-    grams = by_trigrams(asked, postings(ngram_keys(places), NGRAM_CAP))
-    layers.append(grams.select("query_id", "record_id", F.lit(3).alias("layer_no"), F.lit("ngram").alias("layer")))
-    edits = within_one_edit(asked.where(F.length("key") >= 4), named)
-    layers.append(edits.join(named.withColumnRenamed("key", "hit"), "hit").select("query_id", "record_id", F.lit(4).alias("layer_no"), F.lit("edit1").alias("layer")))
-    every = layers[0]
-    for layer in layers[1:]:
-        every = every.unionByName(layer)
-    first = every.groupBy("query_id").agg(F.min("layer_no").alias("layer_no"))
-    hits = every.join(first, ["query_id", "layer_no"]).distinct()
-    return hits.join(places.select("record_id", "importance"), "record_id").select(
+        layers.append(("phonetic", heard))
+    layers += [
+        ("ngram", lambda asked: by_trigrams(asked, postings(ngram_keys(places), NGRAM_CAP) if grams is None else grams)),
+        ("edit1", lambda asked: within_one_edit(asked.where(F.length("key") >= 4), named).join(by_key, "hit")),
+        ("edit2", lambda asked: within_two_edits(asked.where(F.length("key") >= 4), named).join(by_key, "hit")),
+    ]
+    every: DataFrame | None = None
+    for label, layer in layers:
+        hits = layer(left).select("query_id", "record_id", F.lit(label).alias("layer")).distinct()
+        every = hits if every is None else every.unionByName(hits)
+        left = left.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    return every.join(places.select("record_id", "importance"), "record_id").select(
         "query_id", "record_id", "layer", scoring.confidence(F.col("layer")).alias("confidence"), "importance"
     )
 
 
+def confident(hits: DataFrame, least: float) -> DataFrame:
+    """Hits of at least some confidence."""
+    return hits.where(F.col("confidence") >= least)
+
+
+def best_importance(names: DataFrame, places: DataFrame) -> DataFrame:
+    """(query_id, whole, last): importance of the best place of the whole name and of its last word, 0 without one."""
+    best = places.groupBy(text.base(F.col("name")).alias("key")).agg(F.max("importance").alias("importance"))
+    asked = names.withColumn("key", text.base(F.col("q"))).withColumn("last", F.element_at(F.split("key", " "), -1))
+    out = asked.join(best.withColumnRenamed("importance", "whole"), "key", "left").drop("key")
+    out = out.join(best.select(F.col("key").alias("last"), F.col("importance").alias("last_importance")), "last", "left")
+    return out.select("query_id", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("last_importance", F.lit(0)).alias("last"))
+
+
 def top(hits: DataFrame, by: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` hits of every query, with their rank."""
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= limit)
