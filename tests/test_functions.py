@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from placeloom.functions import address, geo, hashing, projections, scoring, text
+from placeloom.functions import address, codecs, geo, hashing, labels, projections, scoring, text
 
 
 def one(spark, *columns):
@@ -99,7 +99,7 @@ def test_postcodes(spark):
 
 def test_place_id_known_vector(spark):
     df = spark.createDataFrame([("N", 42, 3), ("R", 0, 3)], "k string, i bigint, t int")
-    assert [r[0] for r in df.select(hashing.place_id("k", "i", "t")).collect()] == [3392115414182280, 0]
+    assert [r[0] for r in df.select(hashing.place_id(F.col("k"), F.col("i"), F.col("t"))).collect()] == [3392115414182280, 0]
 
 
 def test_djb2_uses_bytes(spark):
@@ -170,3 +170,55 @@ def test_stitching():
     square = [[(0, 0), (0, 1)], [(1, 1), (0, 1)], [(1, 1), (1, 0), (0, 0)], [(5, 5), (6, 6)]]
     assert stitch(square) == [[(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]]
     assert stitch([]) == []
+
+
+ADDRESSES = {
+    "Kungsgatan 15B, 114 56 Stockholm": ("kungsgatan", "15b", "114 56", "Stockholm"),
+    "Kungsgatan 15-17, Stockholm": ("kungsgatan", "15", None, "Stockholm"),
+    "Kungsgatan 15, 11456 Stockholm": ("kungsgatan", "15", "11456", "Stockholm"),
+    "Kungsgatan 15 Stockholm": ("kungsgatan", "15", None, "Stockholm"),
+    "10bis rue de Rivoli, Paris": ("rue de rivoli", "10bis", None, "Paris"),
+    "75001 Paris": None,
+    "Nørregade 4, 1165 København K": ("nørregade", "4", "1165", "København"),
+    "Kungsgatan": None,
+    "": None,
+}
+
+
+def test_parsed_addresses(spark):
+    df = spark.createDataFrame([(x,) for x in ADDRESSES], "t string")
+    got = {r.t: r.p and tuple(r.p) for r in df.select("t", address.parsed_address(F.col("t")).alias("p")).collect()}
+    assert got == ADDRESSES
+
+
+def test_postcodes_states_and_contexts(spark):
+    uk = {"SW1A 2AA": True, "e1 6an": True, "M1 1AA": True, "EC1A1BB": True, "11456": False, "ABC1 2AA": False, "SW1A 22A": False, "": False}
+    df = spark.createDataFrame([(x,) for x in uk], "t string")
+    assert {r.t: r.v for r in df.select("t", address.is_uk_postcode(F.col("t")).alias("v")).collect()} == uk
+    states = {"Portland, OR": ("Portland", "OR"), "Portland OR": ("Portland", "OR"), "New York": ("New York", None), "Albany New York": ("Albany", "NY"), "Washington District of Columbia": ("Washington", "DC"), "Or": ("Or", None)}
+    df = spark.createDataFrame([(x,) for x in states], "t string")
+    assert {r.t: tuple(r.v) for r in df.select("t", address.without_state(F.col("t")).alias("v")).collect()} == states
+    split = {"Lund, Sweden": ("Lund", "Sweden"), "a, b, c": ("a, b", "c"), "x, 12": None, "x": None, ", y": None}
+    df = spark.createDataFrame([(x,) for x in split], "t string")
+    assert {r.t: r.v and tuple(r.v) for r in df.select("t", address.disambiguated(F.col("t")).alias("v")).collect()} == split
+
+
+def test_number_codes_round_trip(spark):
+    values = [0, 1, -1, 63, -64, 127, 128, 300, -40000, 2**31, -(2**40)]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").withColumn("z", codecs.zigzag(F.col("v")))
+    out = df.select("v", codecs.unzigzag(F.col("z")).alias("b"), codecs.varint(F.col("z")).alias("c"), codecs.unvarint(codecs.varint(F.col("z"))).alias("d"), "z").collect()
+    assert all(r.b == r.v and r.d == r.z for r in out) and {r.z: r.c for r in out}[600] == "D804"
+    steps = df.agg(F.sort_array(F.collect_list("v")).alias("a")).select("a", codecs.delta_decode(codecs.delta_encode(F.col("a"))).alias("b")).first()
+    assert steps.a == steps.b
+
+
+def test_place_labels(spark):
+    tags = [{"name": "x", "highway": "y"}, {"name": "x", "highway": "y", "name:sv": "z"}, {"name": "x", "building": "y", "amenity": "z"}, {"natural": "y"}, {"name": "x", "natural": "y", "ele": "5", "note": "n"}]
+    df = spark.createDataFrame([(t,) for t in tags], "t map<string,string>")
+    out = df.select(labels.way_qualifies(F.col("t")).alias("q"), labels.extra_tags(F.col("t")).alias("e")).collect()
+    assert [r.q for r in out] == [False, True, True, False, True] and out[4].e == {"ele": "5"}
+    kinds = spark.createDataFrame([("town",), ("hamlet",), ("quarter",), ("lake",)], "k string")
+    rows = kinds.select("k", *labels.settlement_columns(F.col("k"), F.lit("N"))).collect()
+    assert [tuple(r)[1:] for r in rows] == [(None, "N", None, None), (None, None, "N", None), (None, None, None, "N"), ("N", None, None, None)]
+    bits = labels.flags(F.lit(5), F.lit(""), F.lit("old"), F.lit(False), F.lit(True), F.lit(True))
+    assert kinds.select(bits.alias("b"), labels.has_flag(bits, "box").alias("h")).first() == (1 + 4 + 16 + 32, True)
