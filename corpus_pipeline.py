@@ -41,9 +41,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked texts the row with the smallest doc_id, rows without one last; texts without words stay.
 
-    Texts are linked under their hash, which stands for the row; rows that agree in doc_id and
-    text stay once.
+    Rows whose doc_id others share, or is missing, are linked under the hash of their text; of
+    rows that agree in doc_id and text one stays.
     """
+    doubtful = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if not doubtful.limit(1).count():
+        linked = jaccard.jaccard_components(docs).where("doc_id <> component_id")
+        kept = _without(docs, linked.select(F.col("doc_id").alias("k0")), F.col("doc_id"))
+        release(spark)
+        return kept
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = jaccard.jaccard_components(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
     found = materialize(found.select(F.col("doc_id").alias("h"), F.col("component_id").alias("grp")), "groups")
