@@ -39,12 +39,14 @@ def fold_of(doc_id: str, modulus: int) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         current = sc._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
+    if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='placeloom-')}"
         sc.setCheckpointDir(root)
@@ -92,6 +94,22 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: Keys that are joined by broadcast as too frequent for one task, and the rows that make them so.
+HOT_KEYS, HOT_ROWS = 100_000, 1000
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], rows: int, how: str = "left") -> DataFrame:
+    """``big`` (of ``rows`` rows) joined with a written table that has one row for each key and, in ``m``, the number of its rows in ``big``.
+
+    The rows of a frequent key stay where they are: such keys are broadcast, ``HOT_KEYS`` at most;
+    all others meet by an exchange.
+    """
+    least = max(HOT_ROWS, rows // HOT_KEYS)
+    hot, cold = (small.where(rule).drop("m") for rule in (F.col("m") > least, F.col("m") <= least))
+    met = big.join(F.broadcast(hot), keys)
+    return met.unionByName(big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner free broadcasts and shuffles that no plan holds any more.
 

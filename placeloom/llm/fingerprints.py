@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import materialize, table
+from placeloom.llm.common import free, join_hot, materialize, table
 
 #: Least and most range buckets of the id order, between them two for each shuffle partition; their
 #: borders and first ids are all that the driver sees.
@@ -43,8 +43,9 @@ def digest(text: Column) -> Column:
 
 def with_digest(df: DataFrame, text: str, fingerprint: str, form: str | None = None) -> DataFrame:
     """``df`` with the digest of a text column and, if named, its canonical form."""
-    made = df.withColumn("__form", canonical(F.col(text))).withColumn(fingerprint, digest(F.col("__form")))
-    return made.withColumnRenamed("__form", form) if form else made.drop("__form")
+    own = form or free(df, "form")
+    made = df.withColumn(own, canonical(F.col(text))).withColumn(fingerprint, digest(F.col(own)))
+    return made if form else made.drop(own)
 
 
 def _repeated(fingerprints: DataFrame) -> DataFrame:
@@ -69,15 +70,17 @@ def collisions(texts: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of each row's text."""
+    """``docs`` with the fingerprint of each row's text, under a name with underscores where it is taken."""
+    column = free(docs, column)
     plain = docs.select(F.col(text).cast("string").alias("text"))
     split = collisions(plain, _repeated(with_digest(plain, "text", "fp").select("fp")))
     if not split.limit(1).count():
         return with_digest(docs, text, column)
-    made = with_digest(docs, text, "__fp", "__text")
-    keys = split.select(F.col("fp").alias("__fp"), F.col("form").alias("__text"), F.col("ordinal").alias("__ordinal"))
-    named = made.join(keys, ["__fp", "__text"], "left").withColumn(column, F.concat_ws("-", "__fp", F.col("__ordinal").cast("string")))
-    return named.drop("__fp", "__text", "__ordinal")
+    fp, form, ordinal = (free(docs, f"{column}_{name}") for name in ("digest", "form", "ordinal"))
+    made = with_digest(docs, text, fp, form)
+    keys = split.select(F.col("fp").alias(fp), F.col("form").alias(form), F.col("ordinal").alias(ordinal))
+    named = made.join(keys, [fp, form], "left").withColumn(column, F.concat_ws("-", fp, F.col(ordinal).cast("string")))
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns], column)
 
 
 def followed(docs: DataFrame, *carried: str) -> DataFrame:
@@ -143,8 +146,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     split = collisions(plain.select("text"), repeated)
     if split.limit(1).count():
         made = _resolved(made, plain, pairs, split)
-    groups = made.groupBy("fp").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("fp", "group_id")
-    return made.join(groups, "fp", "left").select(
+    groups = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("m")).where("m > 1"), "equal-texts")
+    return join_hot(made, groups, ["fp"], made.count()).select(
         "doc_id",
         "n_chars",
         "edited_sha256",

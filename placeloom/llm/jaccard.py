@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import discard, materialize, release, table, trim
+from placeloom.llm.common import discard, join_hot, materialize, release, table, trim
 from placeloom.llm.components import components
 
 WORDS = 5
@@ -353,8 +353,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
     keys = ["doc_id", "n", "d1", "d2"]
     small = linked.select(*keys)
-    classes = materialize(small.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    others = materialize(small.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").distinct(), "copies")
+    classes = small.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1")
+    classes = materialize(classes, "set-classes")
+    others = materialize(join_hot(small, classes, ["n", "d1", "d2"], small.count(), "inner").where("doc_id <> rep").distinct(), "copies")
     copies = others.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     others = others.select(*keys)
     reps = linked.join(_small(others), keys, "left_anti")

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, components, decontamination, fingerprints, html, jaccard, langid, lm, pii, toxicity, warc
+from placeloom.llm import bpe, common, components, decontamination, fingerprints, html, jaccard, langid, lm, pii, toxicity, warc
 from placeloom.llm.common import table
 from placeloom.llm.registry import ORACLES, QUERIES
 
@@ -199,6 +199,48 @@ def test_language_learns_every_language_and_word(spark):
     assert np.allclose(model.probability[:-1].sum(axis=0), 1)
 
 
+def test_clashing_columns_of_fingerprints(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "A  b", 5, "x"), (2, "a b", 6, "y"), (3, "c", 7, "z")], "doc_id bigint, text string, fingerprint int, fp string")
+    for digest in (fingerprints.digest, lambda form: F.lit("same")):
+        monkeypatch.setattr(fingerprints, "digest", digest)
+        out = fingerprints.fingerprint(df)
+        assert out.columns == ["doc_id", "text", "fingerprint", "fp", "fingerprint_"]
+        rows = {r.doc_id: r for r in out.collect()}
+        assert rows[1].fingerprint == 5 and rows[1].fingerprint_ == rows[2].fingerprint_ != rows[3].fingerprint_
+
+
+def test_clashing_columns_of_other_operators(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3)], "doc_id bigint, text string, n_shingles int, items int, row int")
+    assert jaccard.jaccard_components(docs).first().n_shingles == 3
+    items = spark.createDataFrame([(1, "a b", 5)], "item_id bigint, text string, row int")
+    assert decontamination.decontaminate(docs, items).first().hit_ends == [2]
+    held = docs.withColumn("held_out", F.lit(False)).withColumn("score", F.lit(9))
+    model, counts = lm.fit(held)
+    assert lm.score(held, model, counts).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def test_join_hot_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    big = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2] * 3 + [3])], "k int, v int")
+    small = spark.createDataFrame([(1, "a", 9), (2, "b", 3), (4, "c", 0)], "k int, w string, m bigint")
+    want = sorted(map(str, big.join(small.drop("m"), ["k"], "left").collect()))
+    assert sorted(map(str, common.join_hot(big, small, ["k"], 13).collect())) == want
+    assert common.join_hot(big, small, ["k"], 13, "inner").count() == 12
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": {}})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_root(session)
+
+
 def test_clashing_columns_of_scores(spark):
     docs = spark.createDataFrame([(1, "some text", 7, "x", "y")], "doc_id bigint, text string, score int, lang_pred string, pairs string")
     found = langid.identify(docs, langid.start({}, []))
