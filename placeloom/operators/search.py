@@ -16,24 +16,24 @@ EXACT_CAP, NGRAM_CAP = 16, 4096
 WORD_SHIFT = 128
 
 
-def postings(keyed: DataFrame, cap: int) -> DataFrame:
-    """(key, record_id, importance, rank): the best ``cap`` records of every key.
+def postings(keyed: DataFrame, cap: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """(key, record_id, importance, rank): the best ``cap`` records of every key, or of every key within the columns named.
 
     The maximum of a record comes first (a partial aggregate); the ranking keeps ``cap`` rows of
     each task before the exchange, so a common key never gathers its whole list.
     """
-    best = keyed.groupBy("key", "record_id").agg(F.max("importance").alias("importance"))
-    order = W.partitionBy("key").orderBy(F.desc("importance"), "record_id")
+    best = keyed.groupBy("key", *within, "record_id").agg(F.max("importance").alias("importance"))
+    order = W.partitionBy("key", *within).orderBy(F.desc("importance"), "record_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
 
-def exact_keys(places: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """(key, record_id, importance) of whole names and of their longer words."""
+def exact_keys(places: DataFrame, stopwords: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, record_id, importance) of whole names and of their longer words, with the columns in ``carried``."""
     name = text.base(F.col("name"))
-    whole = places.select(name.alias("key"), "record_id", "importance")
+    whole = places.select(name.alias("key"), "record_id", "importance", *carried)
     words = F.filter(F.split(F.regexp_replace(name, r"[^\p{L}\p{N} ]", ""), " "), lambda t: (F.octet_length(t) > 2) & ~t.isin(list(stopwords) or [""]))
     several = places.where(F.size(F.split(name, " ")) > 1)
-    single = several.select(F.explode(words).alias("key"), "record_id", F.greatest(F.col("importance").cast("int") / WORD_SHIFT, F.lit(1)).cast("int").alias("importance"))
+    single = several.select(F.explode(words).alias("key"), "record_id", F.greatest(F.col("importance").cast("int") / WORD_SHIFT, F.lit(1)).cast("int").alias("importance"), *carried)
     return whole.unionByName(single)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import address, geo, scoring, text
 from placeloom.operators import search as s
-from placeloom.operators import spatial
+from placeloom.operators import spatial, streets
 from placeloom.plans.model import Model
 
 SEARCH_LIMIT, AUTOCOMPLETE_LIMIT = 50, 20
@@ -37,13 +37,16 @@ def search(
     limit = min(limit, SEARCH_LIMIT)
     forms = queries.select("query_id", F.posexplode(text.normalize_query_udf(language)(F.col("q"))).alias("form", "key"))
     names = model.places.select("record_id", "importance", "country", F.col("name"), "kind", "lat_u", "lon_u", "place_id", "admin_name")
+    posted = model.exact
     if countries:
-        names = names.where(F.col("country").isin(countries))
-    exact = forms.join(model.exact.select("key", "record_id", F.col("importance").alias("posted")), "key").select("query_id", "form", "record_id", "posted")
+        # lists are capped within each country, so none crowds out another
+        names, posted = names.where(F.col("country").isin(countries)), posted.where(F.col("country").isin(countries))
+    exact = forms.join(posted.select("key", "record_id", F.col("importance").alias("posted")), "key").select("query_id", "form", "record_id", "posted")
     first = exact.groupBy("query_id").agg(F.min("form").alias("form"))
     hits = exact.join(first, ["query_id", "form"]).select("query_id", "record_id", F.lit("exact").alias("layer"))
     missed = queries.join(first, "query_id", "left_anti")
-    fuzzy = s.cascade(missed, names, text.phonetic_udf(language)).select("query_id", "record_id", "layer")
+    grams = None if countries else model.ngrams
+    fuzzy = s.cascade(missed, names, text.phonetic_udf(language), grams).select("query_id", "record_id", "layer")
     found = hits.unionByName(fuzzy).join(names, "record_id").withColumn("confidence", scoring.confidence(F.col("layer")))
     found = found.withColumn("lat", F.col("lat_u")).withColumn("lon", F.col("lon_u")).withColumn("importance", F.col("importance").cast("double"))
     ids = F.array(*[F.lit(x).cast("bigint") for x in excluded]) if excluded else None
@@ -62,6 +65,11 @@ def reverse(points: DataFrame, model: Model, limit: int = 1) -> DataFrame:
     return spatial.reverse(points, model.places.drop("gx", "gy"), limit)
 
 
+def reverse_houses(points: DataFrame, addresses: DataFrame, metres: float = 200.0) -> DataFrame:
+    """The nearest address of the points that ask for houses: zoom 17 and beyond."""
+    return streets.nearest_house(points.where("zoom >= 17"), addresses, metres)
+
+
 def lookup(ids: DataFrame, model: Model) -> DataFrame:
     """Places by place_id or by (osm_type, osm_id), whichever columns ``ids`` has."""
     on = [c for c in ("place_id", "osm_type", "osm_id") if c in ids.columns]

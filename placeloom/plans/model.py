@@ -51,7 +51,7 @@ def build(places: DataFrame, addresses: DataFrame, admin: DataFrame, polygons: D
     grouped = streets.street_groups(addresses)
     return Model(
         places=spatial.with_cell(scored),
-        exact=search.postings(search.exact_keys(scored), search.EXACT_CAP),
+        exact=search.postings(search.exact_keys(scored, carried=("country",)), search.EXACT_CAP, ("country",)),
         ngrams=search.postings(search.ngram_keys(scored), search.NGRAM_CAP),
         streets=grouped.drop("houses"),
         houses=addresses.select("street", "muni", "number", "suffix", "lat_u", "lon_u"),

@@ -185,7 +185,7 @@ def dedupe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "city_tier_rank",
     f"{with_tables('customers')}, ctx AS (SELECT n_nationkey AS query_id, n_regionkey AS region, CAST(59035000 + (n_nationkey % 5) * 40000 AS BIGINT) AS lat, CAST(18070000 + (n_nationkey // 5) * 80000 AS BIGINT) AS lon FROM nation), "
-    "t AS (SELECT query_id, record_id, CASE WHEN c.admin_id = query_id THEN 3 WHEN n.n_regionkey = region THEN 2 WHEN " + hav("lat", "lon", "lat_u", "lon_u") + " <= 9000 THEN 1 ELSE 0 END AS tier, (record_id * 48271) % 65521 AS importance FROM ctx JOIN customers c ON c.kind = 'city' AND c.record_id % 25 = query_id JOIN nation n ON n.n_nationkey = c.admin_id) "
+    "t AS (SELECT query_id, record_id, CASE WHEN c.admin_id = query_id THEN 3 WHEN n.n_regionkey = region THEN 2 WHEN " + hav("lat", "lon", "lat_u", "lon_u") + " <= 9000 THEN 1 ELSE 0 END AS tier, (record_id * 48271) % 65521 AS importance FROM ctx JOIN customers c ON c.record_id % 25 = query_id JOIN nation n ON n.n_nationkey = c.admin_id) "
     "SELECT query_id, record_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, importance DESC, record_id) AS rank FROM t",
 )
 def city_tier_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +193,8 @@ def city_tier_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("admin_id"), "n_regionkey").join(fx.centroids(spark, sf_dir), "admin_id")
     context = context.select(F.col("admin_id").alias("query_id"), F.col("n_regionkey").alias("region"), F.col("lat_u").alias("lat"), F.col("lon_u").alias("lon"))
     regions = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("admin_id"), "n_regionkey")
-    places = fx.customers(spark, sf_dir).where("kind = 'city'").withColumn("query_id", (F.col("record_id") % 25).cast("int")).join(F.broadcast(regions), "admin_id")
-    met = places.join(F.broadcast(context), "query_id")
+    places = fx.customers(spark, sf_dir).withColumn("query_id", (F.col("record_id") % 25).cast("int")).join(regions, "admin_id")
+    met = places.join(context, "query_id")
     far = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat_u"), F.col("lon_u")), 3)
     near = scoring.city_tier(F.lit(True), F.col("admin_id") == F.col("query_id"), F.col("n_regionkey") == F.col("region"), far + 41000)
     ranked = met.withColumn("tier", near).withColumn("importance", (F.col("record_id") * 48271) % 65521)
