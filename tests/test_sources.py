@@ -1,6 +1,7 @@
 """Readers, sinks and streams over small files."""
 
 import gzip
+import json
 import sqlite3
 import struct
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeloom.operators import merge, search, usage
-from placeloom.sources import documents, registries, sinks
+from placeloom.sources import documents, gazetteers, registries, sinks
 from placeloom.streaming import usage as streams
 
 
@@ -148,3 +149,47 @@ def test_empty_inputs(spark):
     assert search.prefix(queries, places).count() == 0
     empty = spark.createDataFrame([], "osm_id bigint, name string")
     assert merge.by_id(empty, empty).count() == 0
+
+
+def test_danish_and_norwegian_places(spark, tmp_path):
+    rows = [
+        {"id": "a-1", "hovedtype": "Bebyggelse", "undertype": "bydel", "primærtnavn": "Vesterbro", "visueltcenter": [12.55, 55.67], "sekundærenavne": [{"navn": "Westerbro"}, {"navn": "Vesterbro"}]},
+        {"id": "a-2", "hovedtype": "Standsningssted", "undertype": "bus", "primærtnavn": "Holte", "visueltcenter": [12.4, 55.8]},
+        {"id": "a-3", "hovedtype": "Bebyggelse", "undertype": "gård", "primærtnavn": "Gård", "visueltcenter": [12.4, 55.8]},
+        {"id": "a-4", "hovedtype": "Bebyggelse", "undertype": "by", "primærtnavn": " ", "visueltcenter": [12.4, 55.8]},
+        {"id": "a-5", "hovedtype": "Bebyggelse", "undertype": "by", "primærtnavn": "Nowhere", "visueltcenter": None},
+    ]
+    (tmp_path / "dk.json").write_text(json.dumps(rows))
+    got = {r.name: r for r in gazetteers.danish_places(spark, f"{tmp_path}/dk.json").collect()}
+    assert {k: (r.kind, r.alt_names, r.lat) for k, r in got.items()} == {"Vesterbro": ("suburb", ["Westerbro"], 55.67), "Holte": ("station", [], 55.8)}
+    assert all(r.osm_id < 0 for r in got.values()) and got["Vesterbro"].osm_id != got["Holte"].osm_id
+    spelling = lambda name, first, status: f"<app:skrivemåte><app:Skrivemåte><app:langnavn>{name}</app:langnavn><app:prioritertSkrivemåte>{first}</app:prioritertSkrivemåte><app:skrivemåtestatus>{status}</app:skrivemåtestatus></app:Skrivemåte></app:skrivemåte>"
+    place = lambda number, status, kind, names: (
+        f"<app:Sted><app:stedsnummer>{number}</app:stedsnummer><app:stedstatus>{status}</app:stedstatus><app:navneobjekttype>{kind}</app:navneobjekttype><app:sortering><app:Sortering><app:sortering1Kode>viktighetC</app:sortering1Kode></app:Sortering></app:sortering>"
+        f"<app:posisjon><gml:Point><gml:pos>59.627 5.799</gml:pos></gml:Point></app:posisjon><app:kommune><app:Kommune><app:kommunenavn>Vindafjord</app:kommunenavn><app:fylkesnavn>Rogaland</app:fylkesnavn></app:Kommune></app:kommune><app:stedsnavn><app:Stedsnavn>{names}</app:Stedsnavn></app:stedsnavn></app:Sted>"
+    )
+    body = place(1, "aktiv", "tjern", spelling("Hamre", "false", "godkjent") + spelling("Hamra", "true", "godkjent") + spelling("Old", "false", "historisk")) + place(2, "slettet", "by", spelling("Gone", "true", "godkjent")) + place(3, "aktiv", "x", spelling("None", "true", "avslått"))
+    (tmp_path / "no.xml").write_text(f"<root>{body}</root>")
+    got = gazetteers.norwegian_places(spark, f"{tmp_path}/no.xml").collect()
+    assert [(r.osm_id, r.name, r.alt_names, r.kind, r.population, r.municipality, r.lat) for r in got] == [(-1, "Hamra", ["Hamre"], "lake", 1000, "Vindafjord", 59.627)]
+
+
+def test_paged_and_joined_addresses(spark, tmp_path):
+    feature = lambda **p: {"properties": {"address_name_fin": "Katu", "number_part_of_address_number": 4, "postal_code": "00100", **p}, "geometry": {"coordinates": [25.0, 60.2]}}
+    pages = [[feature(), feature(address_name_fin="", address_name_swe="Gatan", subdivision_letter_of_address_number="b")], [feature(number_part_of_address_number=0), {"properties": {}, "geometry": None}]]
+    for i, features in enumerate(pages):
+        (tmp_path / f"page{i}.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    got = gazetteers.finnish_addresses(spark, f"{tmp_path}/page*.json").collect()
+    assert sorted((r.street, r.housenumber, r.postcode) for r in got) == [("Gatan", "4b", "00100"), ("Katu", "4", "00100")]
+    held = spark.createDataFrame([("g1", "12", "A", "MAIN", "ST", None, "K1A", "OTTAWA", "ON"), ("g2", "5", None, "KING", None, "W", None, "X", "ON")], "LOC_GUID string, CIVIC_NO string, CIVIC_NO_SUFFIX string, OFFICIAL_STREET_NAME string, OFFICIAL_STREET_TYPE string, OFFICIAL_STREET_DIR string, MAIL_POSTAL_CODE string, CSD_ENG_NAME string, MAIL_PROV_ABVN string")
+    placed = spark.createDataFrame([("g1", "45.4", "-75.7")], "LOC_GUID string, BG_LATITUDE string, BG_LONGITUDE string")
+    assert [tuple(r) for r in gazetteers.canadian_addresses(held, placed).collect()] == [("Main St", "12A", "K1A", "Ottawa", "ON", 45.4, -75.7)]
+    layer = spark.createDataFrame([("1", "45", "47", "A", "MEMORIAL", "AVENUE", "Ilam", "Christchurch", -43.5, 172.6), (None, "9", None, None, "Quay", None, None, "Town", -41.2, 174.7), (None, "9", None, None, "Far", None, None, None, 10.0, 174.7)], "unit_value string, address_number string, address_number_high string, address_number_suffix string, road_name string, road_type_name string, suburb_locality string, town_city string, lat double, lon double")
+    assert [tuple(r)[:3] for r in gazetteers.new_zealand_addresses(layer).collect()] == [("Memorial Avenue", "1/45-47A", "Ilam"), ("Quay", "9", "Town")]
+
+
+def test_catalogue_and_texts(spark):
+    rows = gazetteers.catalogue('[country.se]\nname = "Sweden"\n[country.se.national]\ntype = "gpkg"\nurl = "x"\n[country.dk]\nname = "Denmark"\n')
+    assert rows == [{"country": "se", "kind": "", "name": "Sweden"}, {"country": "se", "kind": "national", "type": "gpkg", "url": "x"}, {"country": "dk", "kind": "", "name": "Denmark"}]
+    df = spark.createDataFrame([('"a"',), ('["b", "c"]',), ("[]",), ("5",), (None,)], "v string")
+    assert [r[0] for r in df.select(gazetteers.first_text(F.col("v"))).collect()] == ["a", "b", None, None, None]
