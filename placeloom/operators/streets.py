@@ -86,9 +86,10 @@ def search_addresses(queries: DataFrame, addresses: DataFrame) -> DataFrame:
 
     Ranks: 0 the city agrees, 1 the postcode agrees, 2 neither was asked for, 3 elsewhere.
     """
-    parsed = queries.withColumn("p", address.parsed_address(F.col("q"))).where("p IS NOT NULL")
-    number = address.house_number(F.col("p.number"))
-    asked = parsed.select("query_id", F.col("p.street").alias("street"), number["number"].alias("number"), number["suffix"].alias("suffix"), F.lower("p.city").alias("q_city"), F.regexp_replace("p.postcode", " ", "").alias("q_postcode"))
+    # generators keep the optimizer from repeating the parser for every field
+    parsed = queries.select("query_id", F.inline(F.filter(F.array(address.parsed_address(F.col("q"))), lambda p: p.isNotNull())))
+    named = parsed.select("query_id", "street", F.lower("city").alias("q_city"), F.regexp_replace("postcode", " ", "").alias("q_postcode"), F.inline(F.array(address.house_number(F.col("number")))))
+    asked = named.select("query_id", "street", "number", "suffix", "q_city", "q_postcode")
     held = addresses.select(F.lower("street").alias("street"), "number", "suffix", "osm_id", "lat_u", "lon_u", F.lower("city").alias("city"), F.regexp_replace("postcode", " ", "").alias("postcode"))
     met = asked.join(held, ["street", "number", "suffix"])
     yes = lambda c: F.coalesce(c, F.lit(False))
