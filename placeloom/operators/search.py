@@ -105,8 +105,9 @@ def cascade(queries: DataFrame, places: DataFrame, phonetic=None, grams: DataFra
     """(query_id, record_id, layer, confidence, importance): hits of the first layer that has any.
 
     Layers: exact, phonetic (if a key function is given), trigrams (of queries of at least two),
-    one edit, two edits of single words.  A layer is asked only what no layer before it has
-    found.  ``grams`` are trigram postings that were built before.
+    one edit, two edits of single words.  All layers run on all queries and the first that hits is
+    kept: asking a layer only what the ones before it missed would compute those again for every
+    layer, unless the remainders were written.  ``grams`` are trigram postings that were built before.
     """
     named = places.select("record_id", "importance", text.base(F.col("name")).alias("key"))
     left = queries.select("query_id", text.base(F.col("q")).alias("key"))
@@ -124,10 +125,11 @@ def cascade(queries: DataFrame, places: DataFrame, phonetic=None, grams: DataFra
         ("edit2", lambda asked: within_two_edits(asked.where(F.length("key") >= 4), named).join(by_key, "hit")),
     ]
     every: DataFrame | None = None
-    for label, layer in layers:
-        hits = layer(left).select("query_id", "record_id", F.lit(label).alias("layer")).distinct()
+    for number, (label, layer) in enumerate(layers):
+        hits = layer(left).select("query_id", "record_id", F.lit(number).alias("layer_no"), F.lit(label).alias("layer"))
         every = hits if every is None else every.unionByName(hits)
-        left = left.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    first = every.groupBy("query_id").agg(F.min("layer_no").alias("layer_no"))
+    every = every.join(first, ["query_id", "layer_no"]).drop("layer_no").distinct()
     return every.join(places.select("record_id", "importance"), "record_id").select(
         "query_id", "record_id", "layer", scoring.confidence(F.col("layer")).alias("confidence"), "importance"
     )
