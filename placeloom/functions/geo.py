@@ -46,20 +46,20 @@ def destination(lat: Column, lon: Column, bearing_deg: Column, distance_m: Colum
     return F.degrees(p2), F.degrees(l2)
 
 
-def cell_x(lon: Column) -> Column:
+def cell_x(lon: Column, bits: int = GRID_BITS) -> Column:
     """Grid column; the antimeridian belongs to the last cell."""
-    return F.least(F.floor((lon.cast("bigint") + 180_000_000) * (1 << GRID_BITS) / 360_000_000), F.lit((1 << GRID_BITS) - 1)).cast("bigint")
+    return F.least(F.floor((lon.cast("bigint") + 180_000_000) * (1 << bits) / 360_000_000), F.lit((1 << bits) - 1)).cast("bigint")
 
 
-def cell_y(lat: Column) -> Column:
+def cell_y(lat: Column, bits: int = GRID_BITS) -> Column:
     """Grid row; the pole belongs to the last cell."""
-    return F.least(F.floor((lat.cast("bigint") + 90_000_000) * (1 << GRID_BITS) / 180_000_000), F.lit((1 << GRID_BITS) - 1)).cast("bigint")
+    return F.least(F.floor((lat.cast("bigint") + 90_000_000) * (1 << bits) / 180_000_000), F.lit((1 << bits) - 1)).cast("bigint")
 
 
-def around(x: Column, y: Column) -> Column:
+def around(x: Column, y: Column, bits: int = GRID_BITS) -> Column:
     """The nine cells at and around (x, y), columns wrapping at the antimeridian."""
     steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    return F.array(*[F.struct(F.pmod(x + dx, F.lit(1 << GRID_BITS)).alias("gx"), (y + dy).alias("gy")) for dx, dy in steps])
+    return F.array(*[F.struct(F.pmod(x + dx, F.lit(1 << bits)).alias("gx"), (y + dy).alias("gy")) for dx, dy in steps])
 
 
 def in_ring(lat: Column, lon: Column, ring: Column) -> Column:

@@ -26,10 +26,94 @@ def neighbours(points: DataFrame, places: DataFrame) -> DataFrame:
     return met.withColumn("metres", metres)
 
 
+#: Times that a cell of the grid is cut into four at most; cells are under 5 m wide then.
+MAX_CUTS = 8
+
+
+def close(points: DataFrame, places: DataFrame, k: int, shown: Column | None = None) -> DataFrame:
+    """Those of ``neighbours`` that may be among a point's ``k`` nearest, of each kind where ``shown`` (of kind and the points' columns) picks kinds.
+
+    Cells are cut into four again and again, as often as the fullest one asks for.  The finest nine
+    cells around a point that hold ``k`` places bound the distance of its k-th one; only cells
+    within that reach are joined.  Work follows the points and the places, not their pairs.
+    Points (point_id, lat_u, lon_u, and zoom) keep their columns, places their record_id and kind.
+    """
+    sort = F.lit("") if shown is None else F.coalesce(F.concat(F.lit("="), F.col("kind")), F.lit(""))
+    columns = ["record_id", "lat_u", "lon_u", *(["kind"] if shown is not None else [])]
+    placed = with_cell(places.select(*columns)).withColumn("sort", sort)
+    fullest = placed.where("gx IS NOT NULL AND gy IS NOT NULL").groupBy("sort", "gx", "gy").count().agg(F.max("count")).first()[0] or 0
+    cuts = 0
+    while cuts < MAX_CUTS and 9 * fullest >= k * 4 ** (cuts + 1):
+        cuts += 1
+    if not cuts:
+        met = neighbours(points, places)
+        return met if shown is None else met.where(shown)
+    bits = geo.GRID_BITS + cuts
+    placed = placed.drop("gx", "gy").withColumn("fx", geo.cell_x(F.col("lon_u"), bits)).withColumn("fy", geo.cell_y(F.col("lat_u"), bits))
+
+    def at_level(df: DataFrame) -> DataFrame:
+        each = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(cuts))))
+        up = F.lit(cuts) - F.col("level")
+        return each.withColumn("gx", F.call_function("shiftright", F.col("fx"), up)).withColumn("gy", F.call_function("shiftright", F.col("fy"), up)).drop("fx", "fy")
+
+    kinds = ["sort", *(["kind"] if shown is not None else [])]
+    counts = at_level(placed.groupBy(*kinds, "fx", "fy").agg(F.count("*").alias("n"))).groupBy(*kinds, "level", "gx", "gy").agg(F.sum("n").alias("n"))
+    own = ["point_id", "q_lat", "q_lon", *(["zoom"] if "zoom" in points.columns else [])]
+    # equal rows are asked once
+    asked = points.withColumnsRenamed({"lat_u": "q_lat", "lon_u": "q_lon"}).groupBy(*own).agg(F.count("*").alias("copies"))
+    own.append("copies")
+    fine = at_level(asked.withColumn("fx", geo.cell_x(F.col("q_lon"), bits)).withColumn("fy", geo.cell_y(F.col("q_lat"), bits)))
+    wide = F.call_function("shiftleft", F.lit(1 << geo.GRID_BITS).cast("bigint"), F.col("level"))
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    held = fine.withColumn("d", F.explode(steps)).select(*own, "level", F.pmod(F.col("gx") + F.col("d.dx"), wide).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"))
+    held = held.join(counts, ["level", "gx", "gy"])
+    held = held if shown is None else held.where(shown)
+    held = held.groupBy(*own, "sort", "level").agg(F.sum("n").alias("n"))
+    # with fewer than k places around, level 0 reaches all nine cells
+    level = F.coalesce(F.max(F.when(F.col("n") >= k, F.col("level"))), F.lit(0))
+    chosen = held.groupBy(*own, "sort").agg(level.alias("level")).withColumn("reach", _reach(wide))
+    # a small table of points is one partition, and a broadcast would leave all its pairs to one task
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    search = _within_reach(chosen.repartition(parts, "point_id"), wide)
+    met = search.join(at_level(placed), ["sort", "level", "gx", "gy"])
+    met = met.withColumn("metres", geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat_u"), F.col("lon_u")))
+    met = met.where(F.col("metres") <= F.col("reach")).withColumn("metres", F.round("metres", 3))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+
+
+def _reach(wide: Column) -> Column:
+    """Metres to the farthest corner of the nine cells around (q_lat, q_lon), of a level with ``wide`` cells around the globe."""
+    lat, lon = F.col("q_lat").cast("bigint"), F.col("q_lon").cast("bigint")
+    tall, broad = F.lit(180e6) / wide, F.lit(360e6) / wide
+    south = F.least(F.floor((lat + 90_000_000) / tall), wide - 1) * tall - tall - 90e6
+    west = F.least(F.floor((lon + 180_000_000) / broad), wide - 1) * broad - broad - 180e6
+    aside = F.greatest(lon - west, west + 3 * broad - lon)
+    ends = (F.greatest(south, F.lit(-90e6)), F.least(south + 3 * tall, F.lit(90e6)))
+    # a metre more than distances, their rounding and the cells' edges are wrong by
+    return F.greatest(*[geo.haversine_m(lat, F.lit(0.0), end, aside) for end in ends]) + 1
+
+
+def _within_reach(search: DataFrame, wide: Column) -> DataFrame:
+    """``search`` (q_lat, q_lon, level, reach) once for every cell of its level that may hold a place within reach, of the nine cells of the grid itself."""
+    lat, lon, up = F.col("q_lat").cast("bigint"), F.col("q_lon").cast("bigint"), F.col("level")
+    tall, broad = F.lit(180e6) / wide, F.lit(360e6) / wide
+    turn, flat = F.col("reach") / geo.EARTH_M, F.radians(geo.degrees(lat))
+    y = F.degrees(turn) * 1e6 + 1
+    x = F.when(turn < F.lit(1.57) - F.abs(flat), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(turn) / F.cos(flat)))) * 1e6 + 1).otherwise(F.lit(360e6))
+    shift = lambda cell: F.call_function("shiftleft", cell, up)
+
+    def cells(at: Column, off: Column, size: Column, own: Column) -> Column:
+        return F.sequence(F.greatest(F.floor((at - off) / size), shift(own - 1)), F.least(F.floor((at + off) / size), shift(own + 2) - 1))
+
+    search = search.withColumn("gx", F.explode(cells(lon + 180_000_000, x, broad, geo.cell_x(lon))))
+    search = search.withColumn("gy", F.explode(cells(lat + 90_000_000, y, tall, geo.cell_y(lat))))
+    return search.withColumn("gx", F.pmod("gx", wide))
+
+
 def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest places of every point, with their rank."""
     order = W.partitionBy("point_id").orderBy("metres", "record_id")
-    met = neighbours(points, places).select("point_id", "record_id", "metres")
+    met = close(points, places, k).select("point_id", "record_id", "metres")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
