@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.functions import scoring
-from placeloom.operators import spatial
+from placeloom.operators import rules, spatial
 
 CORNERS = [(59_003_000, 18_005_000), (0, 179_999_000), (-33_000_000, -179_999_500), (89_998_000, 12_000_000), (-89_999_900, -70_000_000), (80_000_000, 0)]
 KINDS = ["city", "town", "hamlet", "unknown", "country", None]
@@ -53,3 +53,11 @@ def test_pairs_do_not_grow_with_the_crowd(spark):
     assert every.count() > 20 * spatial.close(points, places, 5).count()
     shown = scoring.matches_zoom(F.col("kind"), F.col("zoom"))
     assert every.where(shown).count() > 20 * spatial.close(points, places, 3, shown).count()
+
+
+def test_important_nearby_in_crowded_cells(crowded):
+    order = W.partitionBy("point_id").orderBy("metres", "record_id")
+    near = spatial.neighbours(*crowded).withColumn("rank", F.row_number().over(order)).where("rank <= 16 AND metres <= 500")
+    best = near.groupBy("point_id").agg(F.min(F.struct((-F.col("importance")).alias("minus"), "metres", "record_id")).alias("b"))
+    got = rules.important_nearby(*crowded, 16, 500)
+    assert sorted_rows(got, ["point_id", "record_id"]) == sorted_rows(best.select("point_id", "b.record_id"), ["point_id", "record_id"])
