@@ -119,7 +119,8 @@ def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
 
 def reverse(points: DataFrame, places: DataFrame, limit: int) -> DataFrame:
     """Places around points (point_id, lat_u, lon_u, zoom) that their zoom shows, best first."""
-    met = neighbours(points, places).where(scoring.matches_zoom(F.col("kind"), F.col("zoom")))
+    # a head start is one number a kind, so the best are among the nearest of each kind
+    met = close(points, places, limit, scoring.matches_zoom(F.col("kind"), F.col("zoom")))
     met = met.withColumn("effective", F.round(scoring.effective_distance(F.col("metres"), F.col("kind"), F.col("zoom")), 3))
     order = W.partitionBy("point_id").orderBy("effective", "record_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -61,3 +61,12 @@ def test_important_nearby_in_crowded_cells(crowded):
     best = near.groupBy("point_id").agg(F.min(F.struct((-F.col("importance")).alias("minus"), "metres", "record_id")).alias("b"))
     got = rules.important_nearby(*crowded, 16, 500)
     assert sorted_rows(got, ["point_id", "record_id"]) == sorted_rows(best.select("point_id", "b.record_id"), ["point_id", "record_id"])
+
+
+def test_reverse_in_crowded_cells(crowded):
+    shown = scoring.matches_zoom(F.col("kind"), F.col("zoom"))
+    met = spatial.neighbours(*crowded).where(shown)
+    met = met.withColumn("effective", F.round(scoring.effective_distance(F.col("metres"), F.col("kind"), F.col("zoom")), 3))
+    plain = met.withColumn("rank", F.row_number().over(W.partitionBy("point_id").orderBy("effective", "record_id"))).where("rank <= 3")
+    columns = ["point_id", "record_id", "kind", "metres", "effective", "rank"]
+    assert sorted_rows(spatial.reverse(*crowded, 3), columns) == sorted_rows(plain, columns)
