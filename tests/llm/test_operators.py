@@ -76,6 +76,32 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.reject_toxic(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(rng.choice(letters, 9)) for _ in range(3600)]
+    # each word marks its class and stands in four rows, so a sample of them doesn't know all
+    rows = [(i, f"they say {words[i % 3600]} again", i % 2) for i in range(14400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    start = toxicity.train([], np.empty(0)).embedding
+    moved = [bool(np.any(model.embedding[b] != start[b])) for b in (toxicity._bucket(w, 1) for w in words)]
+    assert sum(moved) > 0.95 * len(words)
+    got = toxicity.score(docs, model).select("doc_id", "score").collect()
+    assert sum((r.score >= 0.5) == bool(r.doc_id % 2) for r in got) > 0.95 * len(got)
+
+
+def test_shards_of_training_rows_are_averaged(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    one, again = (toxicity.fit(docs, labels, shard_rows=90) for _ in range(2))
+    assert all(np.array_equal(a, b) for a, b in zip([one.embedding, *one.filters, one.weights, one.thresholds], [again.embedding, *again.filters, again.weights, again.thresholds]))
+    scored = toxicity.score(docs.select("doc_id", "text"), one).join(labels, "doc_id").collect()
+    assert sum((r.score >= 0.5) == bool(r.toxic) for r in scored) > 0.9 * len(scored)
+    assert not toxicity.fit(docs, labels.where("toxic = 0"), shard_rows=90).trained
+
+
 def test_long_texts_are_scored_in_pieces():
     rng = np.random.default_rng(0)
     pairs = [rng.integers(1, 500, (n, 2)) for n in (5, 30, 200)]
