@@ -37,10 +37,10 @@ def best_settlement(points: DataFrame, places: DataFrame, metres: float) -> Data
 
 
 def important_nearby(points: DataFrame, places: DataFrame, nearest: int, metres: float) -> DataFrame:
-    """(point_id, record_id): of the nearest places within reach, the most important."""
-    near = spatial.nearest(points, places, nearest).where(F.col("metres") <= metres)
-    scored = near.join(places.select("record_id", "importance"), "record_id")
-    best = scored.groupBy("point_id").agg(F.min(F.struct((-F.col("importance")).alias("minus"), "metres", "record_id")).alias("b"))
+    """(point_id, record_id): of the nearest places within reach, the most important; those without importance come last."""
+    near = spatial.nearest(points, places, nearest, also=("importance",)).where(F.col("metres") <= metres)
+    order = F.struct(F.col("importance").isNull().alias("none"), (-F.col("importance")).alias("minus"), "metres", "record_id")
+    best = near.groupBy("point_id").agg(F.min(order).alias("b"))
     return best.select("point_id", F.col("b.record_id").alias("record_id"))
 
 

@@ -30,18 +30,19 @@ def neighbours(points: DataFrame, places: DataFrame) -> DataFrame:
 MAX_CUTS = 8
 
 
-def close(points: DataFrame, places: DataFrame, k: int, shown: Column | None = None) -> DataFrame:
+def close(points: DataFrame, places: DataFrame, k: int, shown: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """Those of ``neighbours`` that may be among a point's ``k`` nearest, of each kind where ``shown`` (of kind and the points' columns) picks kinds.
 
     Cells are cut into four again and again, as often as the fullest one asks for.  The finest nine
     cells around a point that hold ``k`` places bound the distance of its k-th one; only cells
     within that reach are joined.  Work follows the points and the places, not their pairs.
-    Points (point_id, lat_u, lon_u, and zoom) keep their columns, places their record_id and kind.
+    Points (point_id, lat_u, lon_u, and zoom) keep their columns, places their record_id, kind and the columns ``also``.
     """
-    sort = F.lit("") if shown is None else F.coalesce(F.concat(F.lit("="), F.col("kind")), F.lit(""))
-    columns = ["record_id", "lat_u", "lon_u", *(["kind"] if shown is not None else [])]
-    placed = with_cell(places.select(*columns)).withColumn("sort", sort)
-    fullest = placed.where("gx IS NOT NULL AND gy IS NOT NULL").groupBy("sort", "gx", "gy").count().agg(F.max("count")).first()[0] or 0
+    sorts, kinds = ([], []) if shown is None else (["sort"], ["sort", "kind"])
+    placed = with_cell(places.select("record_id", "lat_u", "lon_u", *kinds[1:], *also))
+    if sorts:
+        placed = placed.withColumn("sort", F.coalesce(F.concat(F.lit("="), F.col("kind")), F.lit("")))
+    fullest = placed.where("gx IS NOT NULL AND gy IS NOT NULL").groupBy(*sorts, "gx", "gy").count().agg(F.max("count")).first()[0] or 0
     cuts = 0
     while cuts < MAX_CUTS and 9 * fullest >= k * 4 ** (cuts + 1):
         cuts += 1
@@ -50,37 +51,45 @@ def close(points: DataFrame, places: DataFrame, k: int, shown: Column | None = N
         return met if shown is None else met.where(shown)
     bits = geo.GRID_BITS + cuts
     placed = placed.drop("gx", "gy").withColumn("fx", geo.cell_x(F.col("lon_u"), bits)).withColumn("fy", geo.cell_y(F.col("lat_u"), bits))
+    up = F.lit(cuts) - F.col("level")
+    at = [F.call_function("shiftright", F.col(c), up) for c in ("fx", "fy")]
 
-    def at_level(df: DataFrame) -> DataFrame:
-        each = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(cuts))))
-        up = F.lit(cuts) - F.col("level")
-        return each.withColumn("gx", F.call_function("shiftright", F.col("fx"), up)).withColumn("gy", F.call_function("shiftright", F.col("fy"), up)).drop("fx", "fy")
+    def at_levels(df: DataFrame) -> DataFrame:
+        return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(cuts))))
 
-    kinds = ["sort", *(["kind"] if shown is not None else [])]
-    counts = at_level(placed.groupBy(*kinds, "fx", "fy").agg(F.count("*").alias("n"))).groupBy(*kinds, "level", "gx", "gy").agg(F.sum("n").alias("n"))
+    counts = at_levels(placed.groupBy(*kinds, "fx", "fy").agg(F.count("*").alias("n"))).groupBy(_numbered(*at).alias("cell"), *kinds).agg(F.sum("n").alias("n"))
     own = ["point_id", "q_lat", "q_lon", *(["zoom"] if "zoom" in points.columns else [])]
     # equal rows are asked once
     asked = points.withColumnsRenamed({"lat_u": "q_lat", "lon_u": "q_lon"}).groupBy(*own).agg(F.count("*").alias("copies"))
     own.append("copies")
-    fine = at_level(asked.withColumn("fx", geo.cell_x(F.col("q_lon"), bits)).withColumn("fy", geo.cell_y(F.col("q_lat"), bits)))
+    fine = at_levels(asked.withColumn("fx", geo.cell_x(F.col("q_lon"), bits)).withColumn("fy", geo.cell_y(F.col("q_lat"), bits)))
     wide = F.call_function("shiftleft", F.lit(1 << geo.GRID_BITS).cast("bigint"), F.col("level"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    held = fine.withColumn("d", F.explode(steps)).select(*own, "level", F.pmod(F.col("gx") + F.col("d.dx"), wide).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"))
-    held = held.join(counts, ["level", "gx", "gy"])
+    held = fine.select(*own, "level", at[0].alias("gx"), at[1].alias("gy"), F.explode(steps).alias("d"))
+    held = held.select(*own, "level", _numbered(F.pmod(F.col("gx") + F.col("d.dx"), wide), F.col("gy") + F.col("d.dy")).alias("cell"))
+    held = held.join(counts, "cell")
     held = held if shown is None else held.where(shown)
-    held = held.groupBy(*own, "sort", "level").agg(F.sum("n").alias("n"))
+    held = held.groupBy(*own, *sorts, "level").agg(F.sum("n").alias("n"))
     # with fewer than k places around, level 0 reaches all nine cells
     level = F.coalesce(F.max(F.when(F.col("n") >= k, F.col("level"))), F.lit(0))
-    chosen = held.groupBy(*own, "sort").agg(level.alias("level")).withColumn("reach", _reach(wide))
+    chosen = held.groupBy(*own, *sorts).agg(level.alias("level")).withColumn("reach", _reach(wide))
     # a small table of points is one partition, and a broadcast would leave all its pairs to one task
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = points.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     search = _within_reach(chosen.repartition(parts, "point_id"), wide)
-    met = search.join(at_level(placed), ["sort", "level", "gx", "gy"])
+    met = search.join(at_levels(placed).withColumn("cell", _numbered(*at)).drop("level", "fx", "fy"), ["cell", *sorts])
     met = met.withColumn("metres", geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat_u"), F.col("lon_u")))
     met = met.where(F.col("metres") <= F.col("reach")).withColumn("metres", F.round("metres", 3))
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
+def _numbered(gx: Column, gy: Column) -> Column:
+    """One number for a cell of ``level``: joins sort numbers by their bits, but several keys by comparing them one after another."""
+    # rows just outside the globe, which a search may ask for, have numbers that no place has
+    rows = F.call_function("shiftleft", gx, F.lit(24)) + gy + 1
+    return F.call_function("shiftleft", rows, F.lit(4)) + F.col("level")
+
+
 def _reach(wide: Column) -> Column:
     """Metres to the farthest corner of the nine cells around (q_lat, q_lon), of a level with ``wide`` cells around the globe."""
     lat, lon = F.col("q_lat").cast("bigint"), F.col("q_lon").cast("bigint")
@@ -105,15 +114,17 @@ def _within_reach(search: DataFrame, wide: Column) -> DataFrame:
     def cells(at: Column, off: Column, size: Column, own: Column) -> Column:
         return F.sequence(F.greatest(F.floor((at - off) / size), shift(own - 1)), F.least(F.floor((at + off) / size), shift(own + 2) - 1))
 
-    search = search.withColumn("gx", F.explode(cells(lon + 180_000_000, x, broad, geo.cell_x(lon))))
-    search = search.withColumn("gy", F.explode(cells(lat + 90_000_000, y, tall, geo.cell_y(lat))))
-    return search.withColumn("gx", F.pmod("gx", wide))
+    # columns of their own: generators compute an expression anew wherever they name it
+    search = search.select("*", x.alias("dx"), y.alias("dy"))
+    search = search.withColumn("gx", F.explode(cells(lon + 180_000_000, F.col("dx"), broad, geo.cell_x(lon))))
+    search = search.withColumn("gy", F.explode(cells(lat + 90_000_000, F.col("dy"), tall, geo.cell_y(lat))))
+    return search.withColumn("cell", _numbered(F.pmod("gx", wide), F.col("gy"))).drop("dx", "dy", "gx", "gy", "level")
 
 
-def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest places of every point, with their rank."""
+def nearest(points: DataFrame, places: DataFrame, k: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` nearest places of every point, with their rank and their columns ``also``."""
     order = W.partitionBy("point_id").orderBy("metres", "record_id")
-    met = close(points, places, k).select("point_id", "record_id", "metres")
+    met = close(points, places, k, also=also).select("point_id", "record_id", "metres", *also)
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -70,3 +70,13 @@ def test_reverse_in_crowded_cells(crowded):
     plain = met.withColumn("rank", F.row_number().over(W.partitionBy("point_id").orderBy("effective", "record_id"))).where("rank <= 3")
     columns = ["point_id", "record_id", "kind", "metres", "effective", "rank"]
     assert sorted_rows(spatial.reverse(*crowded, 3), columns) == sorted_rows(plain, columns)
+
+
+def test_important_nearby_weighs_the_rows_found(spark):
+    places = [(1, 59_000_010, 18_000_000, 1), (2, 59_000_020, 18_000_000, 5), (3, 59_000_000, 18_000_000, None), (1, -10_000_000, 3_000_000, 9)]
+    # a crowd beyond reach, so that cells are cut
+    places += [(100 + i, 59_000_000, 18_090_000 + i, 100 + i) for i in range(50)]
+    places = spark.createDataFrame(places, "record_id bigint, lat_u bigint, lon_u bigint, importance bigint")
+    points = spark.createDataFrame([(7, 59_000_000, 18_000_000)], "point_id bigint, lat_u bigint, lon_u bigint")
+    assert [tuple(r) for r in rules.important_nearby(points, places, 4, 500).collect()] == [(7, 2)]
+    assert [tuple(r) for r in rules.important_nearby(points, places.where("record_id = 3"), 4, 500).collect()] == [(7, 3)]
