@@ -61,16 +61,18 @@ _SETTINGS = {
 }
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The written table cuts the lineage and survives lost executors; the shuffle files of the
-    finished write are released at once where Spark has a setting for it.
+    finished write are released at once where Spark has a setting for it.  ``batch``: rows that
+    are read and written at once, where rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/placeloom/{name}-{uuid.uuid4().hex}"
     before = {}
-    for setting, value in _SETTINGS.items():
+    small = {} if batch is None else {"spark.sql.parquet.columnarReaderBatchSize": str(batch), "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}
+    for setting, value in (_SETTINGS | small).items():
         try:
             before[setting] = spark.conf.get(setting)
         except Exception:  # an older Spark doesn't know the setting

@@ -25,7 +25,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,9 @@ from placeloom.llm.common import discard, fold_of, free, materialize, release, t
 SHARD_ROWS = 8000
 #: Times that shards are averaged; each trains ``EPOCHS / ROUNDS`` epochs in between.
 ROUNDS = 5
+#: Buckets whose weights and rates go from round to round as one row, of 140 KB at most: large
+#: rows cost executors many times their size.
+RANGE = 1024
 #: Steps of probability in which held-back rows of all shards are counted.
 STEPS = 4096
 #: Labelled ids that are broadcast to pick texts; beyond it the texts are joined by an exchange.
@@ -342,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> Mod
 
     rows = sample.mapInArrow(bucketed, "doc_id bigint, toxic int, pairs binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     if shards > 1:
-        rows = materialize(rows, "training-rows")
+        rows = materialize(rows, "training-rows", BATCH_ROWS)
         model = _averaged(rows, shards)
         discard(rows, known)
         return model
@@ -390,21 +393,24 @@ def _dealt(rows: DataFrame, state: DataFrame | None, tasks: int) -> DataFrame:
     return dealt.drop("part").sortWithinPartitions("shard")
 
 
-def _peeled(batches: Iterator[pa.RecordBatch]) -> tuple[tuple | None, Iterator[pa.RecordBatch]]:
-    """The state in front of a partition of ``_dealt``, if there is one, and the batches behind it."""
-    state = None
+def _peeled(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[list[np.ndarray], list[np.ndarray]], Iterator[pa.RecordBatch]]:
+    """Weights and rates of the state in front of a partition of ``_dealt``, those before the first round without one, and the batches behind it."""
+    state = _begun()
     for batch in batches:
-        while batch.num_rows and batch.column(3)[0].as_py() < 0:
-            state, batch = pickle.loads(batch.column(2)[0].as_buffer()), batch.slice(1)
-        if batch.num_rows:
-            return state, chain([batch], batches)
+        ahead = 0
+        while ahead < batch.num_rows and batch.column(3)[ahead].as_py() < 0:
+            _put(state, pickle.loads(batch.column(2)[ahead].as_buffer()))
+            ahead += 1
+        if ahead < batch.num_rows:
+            return state, chain([batch.slice(ahead)], batches)
     return state, iter(())
 
 
 def _averaged(rows: DataFrame, shards: int) -> Model:
     """A model of all shards of the written ``rows``: each round they train side by side from one model, then their weights and rates are averaged.
 
-    Models go from round to round as written tables; the driver sees the last one alone.
+    Models go from round to round as written tables, a range of buckets a row, and every range is
+    averaged by itself; the driver sees the last model alone.
     """
     tasks = min(shards, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if rows.select("toxic").distinct().count() < 2:
@@ -414,35 +420,25 @@ def _averaged(rows: DataFrame, shards: int) -> Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weighed = _Mean()
             state, batches = _peeled(batches)
-            state = state or _begun()
             for shard, pairs, toxic in _shards(batches):
                 model, adapt, bias = _restored(state)
                 own = np.flatnonzero(np.arange(len(toxic)) % 5 != 4)
                 _epochs(model, adapt, bias, pairs, toxic, own, EPOCHS // ROUNDS, np.random.default_rng((7, at, shard)))
                 moved = (adapt.sums[0] != state[1][0]).any(axis=1)
                 weighed.add(adapt.arrays, adapt.sums, moved * np.float64(len(own)), len(own))
+                del model, adapt, bias, pairs
             if weighed.rows:
-                yield _state_row((*weighed.mean(), weighed.weight), weighed.rows)
+                yield from _state_rows(*weighed.mean(), weighed.weight, weighed.rows)
             del weighed, state
             trim()
 
         return run
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighed, before = _Mean(), None
-        for batch in batches:
-            for raw, n in zip(batch.column(0), batch.column(1).to_pylist()):
-                if n < 0:
-                    before = pickle.loads(raw.as_buffer())
-                else:
-                    weighed.add(*pickle.loads(raw.as_buffer()), n)
-        if weighed.rows:
-            state = weighed.mean()
-            for now, then in zip(state, before or _begun()):
-                now[0][weighed.weight == 0] = then[0][weighed.weight == 0]
-            yield _state_row(state, weighed.rows)
-            del state
-        del weighed, before
+        each = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)))
+        for place, own in groupby(each, key=lambda r: r[0]):
+            listed = [(n, pickle.loads(raw.as_buffer())) for _, n, raw in own]
+            yield _state_row(place, sum(n for n, _ in listed if n > 0), _joined_head(listed) if place < 0 else _joined_range(listed))
         trim()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,29 +451,37 @@ def _averaged(rows: DataFrame, shards: int) -> Model:
             yield pa.RecordBatch.from_arrays(columns, names=["language", "p", "toxic"])
         trim()
 
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models = [pickle.dumps(_model_of(pickle.loads(raw.as_buffer()))) for raw in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(models, pa.binary())], names=["model"])
+            for raw in batch.column(2):
+                buckets, arrays, rates, weight = pickle.loads(raw.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((buckets, arrays, None, None))], pa.binary())], names=["state"])
         trim()
 
     state = None
     for at in range(ROUNDS):
-        parts = materialize(_dealt(rows, state, tasks).mapInArrow(trained(at), _STATE), "shard-models")
-        every = parts if state is None else parts.unionByName(state.select("state", F.lit(-1).cast("bigint").alias("rows")))
-        # sorted, so that sums of one input are always the same
-        one = materialize(every.repartition(1).sortWithinPartitions("rows", F.xxhash64("state")).mapInArrow(joined, _STATE), "model")
+        parts = materialize(_dealt(rows, state, tasks).mapInArrow(trained(at), _STATE), "shard-models", BATCH_ROWS)
+        every = parts if state is None else parts.unionByName(state.withColumn("rows", F.lit(-1).cast("bigint")))
+        # sorted, so that sums of one input are always the same; the state before comes first
+        met = every.repartition("range").sortWithinPartitions("range", "rows", F.xxhash64("state"))
+        one = materialize(met.mapInArrow(joined, _STATE), "model", BATCH_ROWS)
         discard(parts, *([] if state is None else [state]))
         state = one
-    thresholds = _counted_thresholds(_dealt(rows, state, tasks).mapInArrow(judged, "language int, p double, toxic bigint"))
-    model = pickle.loads(state.mapInArrow(finished, "model binary").first()["model"])
+    seen = materialize(_dealt(rows, state, tasks).mapInArrow(judged, "language int, p double, toxic bigint"), "judged", BATCH_ROWS)
+    thresholds = _counted_thresholds(seen)
+    last = _begun()
+    for row in state.mapInArrow(weights, "state binary").collect():
+        _put(last, pickle.loads(row["state"]))
+    model = _model_of(last)
     model.thresholds = thresholds
-    discard(state)
+    discard(state, seen)
     release(rows.sparkSession)
     return model
 
 
-_STATE = "state binary, rows bigint"
+_STATE = "range int, rows bigint, state binary"
+#: Rows of training tables that Spark's reader holds at once.
+BATCH_ROWS = 128
 
 
 class _Mean:
@@ -505,8 +509,63 @@ class _Mean:
         return arrays, rates
 
 
-def _state_row(state: tuple, rows: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary()), pa.array([rows], pa.int64())], names=["state", "rows"])
+def _state_row(place: int, rows: int, state: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([rows], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["range", "rows", "state"])
+
+
+def _state_rows(arrays: list[np.ndarray], rates: list[np.ndarray], weight: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a state: buckets (null: the layers above them), weights, rates, and rows that each bucket's stand for.
+
+    Buckets that no shard has moved are left out.
+    """
+    yield _state_row(-1, rows, (None, arrays[1:], rates[1:], None))
+    for start in range(0, BUCKETS, RANGE):
+        buckets = start + np.flatnonzero(weight[start : start + RANGE])
+        if len(buckets):
+            yield _state_row(start // RANGE, rows, (buckets, arrays[0][buckets], rates[0][buckets], weight[buckets]))
+
+
+def _put(state: tuple[list[np.ndarray], list[np.ndarray]], row: tuple) -> None:
+    """Put the content of a row into weights and rates."""
+    buckets, arrays, rates, _ = row
+    for now, new in zip(state, (arrays, rates)):
+        if new is None:
+            continue
+        if buckets is None:
+            now[1:] = new
+        else:
+            now[0][buckets] = new
+
+
+def _joined_head(listed: list[tuple[int, tuple]]) -> tuple:
+    """Means of the layers above the buckets, of (rows, content); rows under 0 are of the state before."""
+    weighed = [(n, content) for n, content in listed if n > 0]
+    rows = sum(n for n, _ in weighed)
+    means = ([(sum(x * np.float64(n) for n, x in zip([n for n, _ in weighed], xs)) / rows).astype(np.float32) for xs in zip(*(content[k] for _, content in weighed))] for k in (1, 2))
+    return None, *means, None
+
+
+def _joined_range(listed: list[tuple[int, tuple]]) -> tuple:
+    """Means of a range's buckets over those that have moved them; others keep their values of the state before."""
+    start = min(int(content[0][0]) for _, content in listed) // RANGE * RANGE
+    whole, sums = np.zeros(RANGE), np.zeros((2, RANGE, WIDTH))
+    before = None
+    for n, (buckets, arrays, rates, weight) in listed:
+        if n < 0:
+            before = buckets - start, arrays, rates
+            continue
+        whole[buckets - start] += weight
+        sums[0, buckets - start] += arrays * weight[:, None]
+        sums[1, buckets - start] += rates * weight[:, None]
+    moved = np.flatnonzero(whole)
+    out = np.zeros((2, RANGE, WIDTH), dtype=np.float32)
+    known = whole > 0
+    if before is not None:
+        known[before[0]] = True
+        out[0, before[0]], out[1, before[0]] = before[1:]
+    out[:, moved] = sums[:, moved] / whole[moved, None]
+    at = np.flatnonzero(known)
+    return start + at, out[0, at], out[1, at], None
 
 
 def _begun() -> tuple[list[np.ndarray], list[np.ndarray]]:

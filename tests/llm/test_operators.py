@@ -4,6 +4,7 @@ import base64
 import hashlib
 import hmac
 import io
+import pickle
 import random
 import re
 import unicodedata
@@ -102,6 +103,47 @@ def test_shards_of_training_rows_are_averaged(spark, sf):
     assert not toxicity.fit(docs, labels.where("toxic = 0"), shard_rows=90).trained
 
 
+def test_toxicity_models_travel_in_small_rows(spark, monkeypatch):
+    """No row that goes from round to round holds a whole model, whatever the vocabulary."""
+    largest, write = [], toxicity.materialize
+
+    def measured(df, name, *more):
+        out = write(df, name, *more)
+        if "state" in out.columns:
+            largest.append(out.agg(F.max(F.length("state"))).first()[0])
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", measured)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + (" foul" if i % 2 else " fair"), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    assert toxicity.fit(docs, docs.select("doc_id", "toxic"), shard_rows=100).trained
+    assert len(largest) == 2 * toxicity.ROUNDS and max(largest) < 200_000
+
+
+def test_toxicity_ranges_average_like_whole_models():
+    rng = np.random.default_rng(3)
+    begun, whole, rows = toxicity._begun(), toxicity._Mean(), []
+    before = [[x + np.float32(1) for x in xs] for xs in begun]
+    seen = (rng.random(toxicity.BUCKETS) < 0.3).astype(float)
+    rows += [(-1, b) for b in toxicity._state_rows(*before, seen, 9)]
+    for n in (7, 5):
+        arrays, rates = ([x + rng.random(x.shape).astype(np.float32) for x in xs] for xs in begun)
+        weight = (rng.random(toxicity.BUCKETS) < 0.1) * float(n)
+        whole.add(arrays, rates, weight, n)
+        rows += [(n, b) for b in toxicity._state_rows(arrays, rates, weight, n)]
+    ranges = {}
+    for n, b in rows:
+        ranges.setdefault(b.column(0)[0].as_py(), []).append((n, pickle.loads(b.column(2)[0].as_py())))
+    got = toxicity._begun()
+    for place, listed in ranges.items():
+        toxicity._put(got, toxicity._joined_head(listed) if place < 0 else toxicity._joined_range(listed))
+    for mine, mean, first, then in zip(got, whole.mean(), begun, before):
+        kept = np.where(seen[:, None] > 0, then[0], first[0])
+        np.testing.assert_allclose(mine[0], np.where(whole.weight[:, None] > 0, mean[0], kept), rtol=1e-6)
+        for a, b in zip(mine[1:], mean[1:]):
+            np.testing.assert_allclose(a, b, rtol=1e-6)
+
+
 def test_long_texts_are_scored_in_pieces():
     rng = np.random.default_rng(0)
     pairs = [rng.integers(1, 500, (n, 2)) for n in (5, 30, 200)]
