@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import itertools
 import tempfile
 import uuid
 
@@ -60,13 +61,18 @@ _SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
+#: Written tables after which the driver's garbage is collected; its free native memory goes back after each.
+RELEASE_EVERY = 4
+_writes = itertools.count(1)
+
 
 def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The written table cuts the lineage and survives lost executors; the shuffle files of the
     finished write are released at once where Spark has a setting for it.  ``batch``: rows that
-    are read and written at once, where rows are large.
+    are read and written at once, where rows are large.  What plans leave behind on the driver is
+    released on the way, since an operator of many tables would gather it.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/placeloom/{name}-{uuid.uuid4().hex}"
@@ -85,6 +91,10 @@ def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame
             spark.conf.set(setting, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if next(_writes) % RELEASE_EVERY:
+        _trim_native(spark)
+    else:
+        release(spark)
     return out
 
 
@@ -116,18 +126,36 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner free broadcasts and shuffles that no plan holds any more.
 
     The cleaner learns of them from the driver's garbage collections alone, which are rare where
-    the plans are small; until then the copies stay on the driver and on every executor.  What the
-    driver's native allocator holds free goes back to the system, where the JVM has a command for it.
+    the plans are small; until then the copies stay on the driver and on every executor.
+    """
+    trim()
+    spark._jvm.System.gc()
+    _trim_native(spark)
+
+
+def _trim_native(spark: SparkSession) -> str:
+    """Give what the native allocator of the driver's JVM holds free back to the system, where the JVM has a command for it; its answer.
+
+    Plans of many exchanges run in hundreds of threads, and what these free stays in their arenas.
     """
-    gc.collect()
     jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
-    jvm.System.gc()
+
+    def array(kind, *values):
+        out = new_array(kind, len(values))
+        for i, value in enumerate(values):
+            out[i] = value
+        return out
+
+    lang, named = jvm.java.lang, jvm.java.lang.Class.forName
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
     try:
+        # by its interface: the server's own class is closed to reflection
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, *map(named, kinds)))
         commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
-        server.invoke(commands, "systemTrimNativeHeap", new_array(jvm.Object, 0), new_array(jvm.String, 0))
+        asked = array(lang.Object, commands, "systemTrimNativeHeap", array(lang.Object), array(lang.String))
+        return str(invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), asked))
     except Py4JError:  # a JVM without it
-        pass
+        return ""
 
 
 def trim() -> None:

@@ -908,3 +908,27 @@ def test_words_are_numbered_in_batches(monkeypatch):
         assert rare == [w for t in tokens for w in t if w not in given]
         assert keys.tolist() == [lm.word_key(w) for w in rare]
         assert starts.tolist() == np.cumsum([0, *map(len, tokens)])[:-1].tolist()
+
+
+def test_driver_gives_free_native_memory_back(spark):
+    commands = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = spark._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    named = spark._jvm.java.lang.Class.forName
+    kinds = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Class, 1)
+    kinds[0] = named("javax.management.ObjectName")
+    asked = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 1)
+    asked[0] = commands
+    known = named("javax.management.MBeanServer").getMethod("getMBeanInfo", kinds).invoke(server, asked).getOperations()
+    if not any(x.getName() == "systemTrimNativeHeap" for x in known):
+        pytest.skip("a JVM without the command")
+    assert common._trim_native(spark).startswith("Trim native heap")
+
+
+def test_operators_release_between_their_tables(spark, monkeypatch):
+    done = Counter()
+    monkeypatch.setattr(common, "release", lambda s: done.update(["release"]))
+    monkeypatch.setattr(common, "_trim_native", lambda s: done.update(["trim"]))
+    rows = 2 * common.RELEASE_EVERY
+    for _ in range(rows):
+        common.materialize(spark.range(1).toDF("a"), "released")
+    assert done == {"release": 2, "trim": rows - 2}
