@@ -61,18 +61,28 @@ _SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
+#: Hadoop's local file system starts a process for each folder and file that it makes, a copy of the whole JVM until
+#: it has begun; files of checksums and of success would be two more a table and one more a file.  Other stores
+#: don't look at the first two.
+_PLAIN_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+
 #: Written tables after which the driver's garbage is collected; its free native memory goes back after each.
 RELEASE_EVERY = 4
 _writes = itertools.count(1)
 
 
-def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch: int | None = None, few: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The written table cuts the lineage and survives lost executors; the shuffle files of the
     finished write are released at once where Spark has a setting for it.  ``batch``: rows that
-    are read and written at once, where rows are large.  What plans leave behind on the driver is
-    released on the way, since an operator of many tables would gather it.
+    are read and written at once, where rows are large.  ``few``: rows of many tasks are small and
+    are gathered into as few files as their size asks for.  What plans leave behind on the driver
+    is released on the way, since an operator of many tables would gather it.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/placeloom/{name}-{uuid.uuid4().hex}"
@@ -85,7 +95,7 @@ def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame
             continue
         spark.conf.set(setting, value)
     try:
-        df.write.parquet(path)
+        (df.hint("rebalance") if few else df).write.options(**_PLAIN_FILES).parquet(path)
     finally:
         for setting, value in before.items():
             spark.conf.set(setting, value)
@@ -133,6 +143,15 @@ def release(spark: SparkSession) -> None:
     _trim_native(spark)
 
 
+def release_executors(spark: SparkSession) -> None:
+    """Collect the executors' garbage, so that their heaps shrink to what they hold.
+
+    A heap that a stage of much garbage has grown otherwise stays that large for a long time.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def _trim_native(spark: SparkSession) -> str:
     """Give what the native allocator of the driver's JVM holds free back to the system, where the JVM has a command for it; its answer.
 

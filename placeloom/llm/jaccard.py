@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import discard, join_hot, materialize, release, table, trim
+from placeloom.llm.common import discard, join_hot, materialize, release, release_executors, table, trim
 from placeloom.llm.components import components
 
 WORDS = 5
@@ -188,7 +188,7 @@ def compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, least:
     joined = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.size("ta"), F.size("tb"), least))
     both, total = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
     judged = joined.select("a", "b", both.alias("both"), total.alias("total")).where((100 + least) * F.col("both") >= least * F.col("total"))
-    out = materialize(judged.select("a", "b", ((100 + percent) * F.col("both") >= percent * F.col("total")).alias("linked")), "compared")
+    out = materialize(judged.select("a", "b", ((100 + percent) * F.col("both") >= percent * F.col("total")).alias("linked")), "compared", few=True)
     discard(sets)
     return out
 
@@ -266,7 +266,7 @@ def _matrix_rows(rows: DataFrame) -> DataFrame:
     """(token, pos, doc_id, n, grp) of the prefix tokens that more than one document holds."""
     each = rows.select("doc_id", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
     shared = each.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    shared = materialize(shared, "shared-tokens")
+    shared = materialize(shared, "shared-tokens", few=True)
     # tokens are as many as the input has, so they are broadcast only while they are few
     if shared.count() <= TOKENS_BOUND:
         shared = F.broadcast(shared)
@@ -326,8 +326,9 @@ def _open_groups(rows: DataFrame, docs: DataFrame, words: int, percent: int) ->
     # a group of several components is also near itself
     mixed = rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     near = materialize(near.union(mixed.select("grp", F.col("grp").alias("gb"))), "near-groups")
+    release_executors(docs.sparkSession)
     ids = _small(materialize(near.select(F.col("ga").alias("grp")).union(near.select("gb")).distinct(), "near-ids"))
-    inside = materialize(rows.select("doc_id", "n", "comp", "grp").join(ids, "grp", "left_semi"), "near-members")
+    inside = materialize(rows.select("doc_id", "n", "comp", "grp").join(ids, "grp", "left_semi"), "near-members", few=True)
     sizes = _small(materialize(inside.groupBy("grp").agg(F.count("*").alias("m")), "group-sizes"))
     sized = near.join(sizes.select(F.col("grp").alias("ga"), F.col("m").alias("ma")), "ga").join(sizes.select(F.col("grp").alias("gb"), F.col("m").alias("mb")), "gb")
     first = F.col("ma") <= F.col("mb")
@@ -360,18 +361,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     others = others.select(*keys)
     reps = linked.join(_small(others), keys, "left_anti")
     met = _met_pivots(reps, docs, words, percent)
+    release_executors(docs.sparkSession)
     first = met.where("linked").select("a", "b")
     linked_to = _small(components(first, "linked").select(F.col("node").alias("doc_id"), F.col("component").alias("comp")))
     groups = _small(_groups(reps, met))
     grouped = reps.join(linked_to, "doc_id", "left").join(groups, "doc_id", "left")
     grouped = grouped.select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("grp", "doc_id").alias("grp"), "prefix")
     grouped = materialize(grouped, "grouped")
-    sizes = materialize(signed.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
+    sizes = materialize(signed.select("doc_id", F.col("n").alias("n_shingles")), "sizes", few=True)
     discard(signed)
     release(docs.sparkSession)
-    rest = _open_groups(_ordered_prefixes(grouped, docs, words, percent), docs, words, percent)
+    release_executors(docs.sparkSession)
+    ordered = _ordered_prefixes(grouped, docs, words, percent)
+    release_executors(docs.sparkSession)
+    rest = _open_groups(ordered, docs, words, percent)
     discard(grouped)
     release(docs.sparkSession)
+    release_executors(docs.sparkSession)
     labels = components(copies.union(first).union(rest), "classes")
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

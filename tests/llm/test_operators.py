@@ -4,6 +4,7 @@ import base64
 import hashlib
 import hmac
 import io
+import os
 import pickle
 import random
 import re
@@ -932,3 +933,27 @@ def test_operators_release_between_their_tables(spark, monkeypatch):
     for _ in range(rows):
         common.materialize(spark.range(1).toDF("a"), "released")
     assert done == {"release": 2, "trim": rows - 2}
+
+
+def test_written_tables_hold_rows_alone(spark):
+    # each further file is a process that a local file system starts, and so a copy of the JVM for a moment
+    rows = spark.range(100).repartition(4)
+    written = {few: common.materialize(rows, "rows-alone", few=few) for few in (False, True)}
+    names = {few: os.listdir(df._written_to.removeprefix("file://")) for few, df in written.items()}
+    assert all(n.startswith("part-") for found in names.values() for n in found)
+    assert len(names[False]) == 4 and len(names[True]) == 1
+    assert all(sorted(r.id for r in df.collect()) == list(range(100)) for df in written.values())
+
+
+def test_executors_collect_their_garbage(spark, monkeypatch):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = collections()
+    common.release_executors(spark)
+    assert collections() > before
+    done = Counter()
+    monkeypatch.setattr(jaccard, "release_executors", lambda s: done.update(["collected"]))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert done["collected"] >= 3
